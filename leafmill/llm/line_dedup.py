@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A line on more than this share of a host's pages, and on at least so many of them, is boilerplate.
-RATIO, LEAST = 0.03, 3
+RATIO, LEAST = 0.05, 3
 
 
 def host_of(url: Column) -> Column:
