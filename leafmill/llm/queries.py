@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, pii, reshard, token_counts
+from . import bpe, line_dedup, passages, pii, reshard, token_counts, topk
 from .common import table
 
 BYTE_RANKS, PIECE_MODEL = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 SHARDS, OLD_SHARDS = 24, 16
 
 
+def op2_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -26,6 +30,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old layout: OLD_SHARDS shards by a hash of the source."""
     old = F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS))
@@ -44,8 +53,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_kd_top_k": op2_kd_top_k,
     "op5_personal_data": op5_personal_data,
     "op6_line_dedup": op6_line_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_reshard": op8_reshard,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
@@ -70,4 +81,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_removed,
 FROM marked GROUP BY doc_id, r
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINE_DEDUP_SQL}
+TOP_K_SQL = """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_kd_top_k": TOP_K_SQL, "op6_line_dedup": LINE_DEDUP_SQL}
