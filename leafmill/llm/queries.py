@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, passages, pii, reshard, token_counts, topk
+from . import bpe, line_dedup, passages, pii, reshard, simhash, token_counts, topk
 from .common import table
 
 BYTE_RANKS, PIECE_MODEL = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 SHARDS, OLD_SHARDS = 24, 16
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(simhash.fingerprints(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op2_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -53,6 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_kd_top_k": op2_kd_top_k,
     "op5_personal_data": op5_personal_data,
     "op6_line_dedup": op6_line_dedup,
