@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: A line on more than this share of a host's pages, and on at least so many of them, is boilerplate.
 RATIO, LEAST = 0.05, 3
 
@@ -55,7 +57,8 @@ def boilerplate(df: DataFrame, host: Column, text: str = "text", ratio: float =
 
 def drop_boilerplate(df: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """df with text without boilerplate lines, and n_lines and n_removed."""
-    found = boilerplate(df, host, text, ratio, least).select(F.col("host").alias("__of"), F.col("keys").alias("__keys"))
+    # written, so that its size is known before the texts would be shuffled, and a hot host's side can be split
+    found = written(boilerplate(df, host, text, ratio, least).select(F.col("host").alias("__of"), F.col("keys").alias("__keys")), "boilerplate")
     bad = lambda x: F.array_contains(F.col("__keys"), _key(_bare(x)))
     joined = df.withColumn("__host", host).join(found, F.col("__host").eqNullSafe(F.col("__of")), "left")
     joined = joined.withColumn("__lines", _lines(F.col(text)))
