@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import arrow_map
+
 #: Characters after which a long text is cut at the next safe place.
 PIECE = 1 << 16
 #: Rows of a batch that go back to Spark at once.
@@ -74,7 +76,7 @@ def encode(df: DataFrame, path: str, pattern: str, keys: tuple[str, ...] = ("doc
                 ids = pa.array([encode_text(t, path, pattern) for t in part.column(len(keys)).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keys))), ids], names=[*keys, "ids"])
 
-    return kept.mapInArrow(run, schema)
+    return arrow_map(kept, run, schema)
 
 
 def decode_ids(ids: bytes | None, path: str, pattern: str) -> bytes:
@@ -102,8 +104,8 @@ def ids_array(ids: Column) -> Column:
     byte = lambda i, k: F.conv(F.hex(F.substring(ids, i * 4 + k + 1, F.lit(1))), 16, 10).cast("long")
     return F.when(F.octet_length(ids) == 0, F.array().cast("array<bigint>")).otherwise(
         F.transform(
-            F.sequence(F.lit(0), F.octet_length(ids) / 4 - 1),
-            lambda i: byte(i.cast("int"), 0) + byte(i.cast("int"), 1) * 256 + byte(i.cast("int"), 2) * 65536 + byte(i.cast("int"), 3) * 16777216,
+            F.sequence(F.lit(0), (F.octet_length(ids) / 4).cast("int") - 1),
+            lambda i: byte(i, 0) + byte(i, 1) * 256 + byte(i, 2) * 65536 + byte(i, 3) * 16777216,
         )
     )
 

@@ -10,12 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that part words: space and 0x09 to 0x0D. bytes.split() parts on exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
+#: Rows in a batch that goes to Python.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), with at most ARROW_ROWS rows going to Python at once, as texts can be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", "") or ""

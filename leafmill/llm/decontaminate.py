@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import arrow_map
+
 GRAM, SEGMENT, SEEDS, SHORTEST, SLICE, ROWS = 3, 64, 8, 6, 1_000_000, 512
 MATCH, MISS, GAP, SHARE, RUN = 2, -1, -1, 0.5, 13
 
@@ -162,8 +164,10 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, keys: list[str] | None = Non
     """The keys (all columns, if None) of every row of df, and leaks: item_id, score (1: a whole segment) and first and last word, end exclusive."""
     spark = df.sparkSession
     keys = [c for c in (df.columns if keys is None else keys) if c != "leaks"]
-    rows = df.select(*keys, F.col(text).cast("string").alias("__text"), F.lit(None).cast(LEAK).alias("leaks"))
+    own = [] if text in keys else [F.col(text).alias("__text")]
+    rows = df.select(*keys, *own, F.lit(None).cast(LEAK).alias("leaks"))
     names = rows.columns
+    body = names.index("__text" if own else text)
     for segments in _slices(benchmark, item, item_text):
         if not segments.items:
             continue
@@ -183,7 +187,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, keys: list[str] | None = Non
                 yield pa.RecordBatch.from_arrays([pa.array(own.grams[at]), pa.array(seen[at])], names=["gram", "n"])
 
         # a row for each n-gram of the slice at most
-        seen = df.select(F.col(text).cast("string")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+        seen = arrow_map(df.select(F.col(text).cast("string")), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
         segments.choose({r.gram: r.n for r in seen})
         fine = spark.sparkContext.broadcast(segments)
 
@@ -192,9 +196,9 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, keys: list[str] | None = Non
                 for at in range(0, batch.num_rows, ROWS):
                     part = batch.slice(at, ROWS)
                     old = part.column(len(names) - 1).to_pylist()
-                    found = [(o or []) + fine.value.leaks(t) for o, t in zip(old, part.column(len(names) - 2).to_pylist(), strict=True)]
+                    found = [(o or []) + fine.value.leaks(t) for o, t in zip(old, part.column(body).to_pylist(), strict=True)]
                     leaks = pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])))
                     yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names) - 1)), leaks], names=names)
 
-        rows = rows.mapInArrow(search, rows.schema)
-    return rows.drop("__text").withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAK)))
+        rows = arrow_map(rows, search, rows.schema)
+    return rows.select(*keys, "leaks").withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAK)))

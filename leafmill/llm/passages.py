@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joined_words, shared_dir, word_bounds, written
+from .common import arrow_map, joined_words, shared_dir, word_bounds, written
 
 WINDOW, GRAM, SLAB, FAN_IN, ROWS = 50, 8, 200_000, 4, 512
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
@@ -129,7 +129,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                     rows += [(a, p, doc, mark, f, n) for a, p, f, n in stretches(joined_words(body))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return _hashed(df, key, text).filter("doc_id is not null and text is not null").mapInArrow(run, _STRETCH)
+    return arrow_map(_hashed(df, key, text).filter("doc_id is not null and text is not null"), run, _STRETCH)
 
 
 class FingerprintIndex:
@@ -190,7 +190,7 @@ class FingerprintIndex:
 
         # one row for each document of the index, should docs repeat rows
         with_text = _hashed(docs, key, text).join(edges, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "parts")
-        windows = written(with_text.mapInArrow(single, "anchor long, print long, doc_id long, text_hash long, first int"), "windows")
+        windows = written(arrow_map(with_text, single, "anchor long, print long, doc_id long, text_hash long, first int"), "windows")
         least = windows.groupBy("anchor", "print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
         partly = windows.join(least, ["anchor", "print"]).filter("doc_id > least").select("doc_id", "text_hash", "first", F.lit(1).alias("windows"))
         return whole.union(partly).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
@@ -220,7 +220,7 @@ def without_repeats(docs: DataFrame, repeats: DataFrame, key: str = "doc_id", te
                         o.append(x)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return arrow_map(both, run, schema)
 
 
 def dedup(docs: DataFrame, batches: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import arrow_map
+
 #: Bounds of a worker's table of pre-tokens: entries, and characters in all.
 CACHE, BYTES = 400_000, 16_000_000
 ROWS = 512
@@ -106,4 +108,4 @@ def token_counts(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",),
                 n = counter(path).counts(part.column(len(names) - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names) - 1)), pa.array(n, pa.int64())], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return arrow_map(kept, run, schema)

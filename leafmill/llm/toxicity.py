@@ -29,10 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import arrow_map, written
 
-SAMPLE, TERMS, EVIDENCE, WINDOW, NEAR, ROWS, MEMO = 12_000, 4000, 25.0, 20, 6, 512, 300_000
+SAMPLE, TERMS, EVIDENCE, WINDOW, NEAR, ROWS, MEMO = 8_000, 4000, 25.0, 20, 6, 512, 300_000
 TREES, DEPTH, RATE, BINS, LEAF_ROWS, FOLDS = 60, 3, 0.15, 32, 8, 3
 
 INSULTS = set(
@@ -250,7 +251,7 @@ def _features_of(df: DataFrame, text: str, lexicons: list[dict[str, float]], whi
                 out = [readers[k].features(t) for k, t in zip(use, part.column(len(names)).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(out, pa.list_(pa.float64()))], names=[*names, "x"])
 
-    return rows.mapInArrow(run, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names) + ", x array<double>")
+    return arrow_map(rows, run, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names) + ", x array<double>")
 
 
 def fit(df: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -292,7 +293,9 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", te
 def scores(df: DataFrame, model: Model, keys: list[str] | None = None, text: str = "text", score: str = "score") -> DataFrame:
     """The keys (all columns, if None) of every row of df, and its score."""
     keys = [c for c in (df.columns if keys is None else keys) if c != score]
-    rows = df.select(*keys, F.col(text).cast("string").alias("__text"))
+    own_text = [] if text in keys else [F.col(text).alias("__text")]
+    rows = df.select(*keys, *own_text)
+    body = rows.columns.index("__text" if own_text else text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -301,11 +304,11 @@ def scores(df: DataFrame, model: Model, keys: list[str] | None = None, text: str
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                x = np.array([reader.features(t) for t in part.column(len(keys)).to_pylist()], np.float64).reshape(-1, len(FEATURES))
+                x = np.array([reader.features(t) for t in part.column(body).to_pylist()], np.float64).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keys))), pa.array(own.score(x), pa.float64())], names=[*keys, score])
 
-    schema = rows.drop("__text").schema.add(score, "double")
-    return rows.mapInArrow(run, schema)
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField(score, T.DoubleType())])
+    return arrow_map(rows, run, schema)
 
 
 def learnable(id: Column) -> Column:
