@@ -26,10 +26,12 @@ BANDS bands of 32 bits and each band is a ball of its own: its variants flip
 any of the UNSURE bits whose sums are nearest to the threshold, which are the
 bits that edits turn over. Two documents meet if in one band their differing
 bits are among those; a pair of similarity 0.8 meets in some band 9 times in
-10, one of 0.9 practically always (groups need one such link a member). Members
-of a variant's group are tried against its smallest id and the one before
-them, first by all bits of the fingerprint, then exactly, by their shingles;
-bands are wider beyond a million texts, so that chance meetings stay rare.
+10, one of 0.9 practically always (groups need one such link a member). Of all
+smaller ids a document meets in a band it is tried against the smallest and,
+among the next smaller in each of its variants' groups, the nearest: 16 pairs
+a document at most, however large its group. A pair is tried by all bits of
+the fingerprint first, then exactly, by its shingles. Bands are wider beyond a
+million texts, so that chance meetings stay rare.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_words, word_bounds, written
+from .common import arrow_map, joined_words, word_bounds, written
 from .components import roots
 
 BLOCK, ROWS = 1 << 15, 512
@@ -91,7 +93,7 @@ def fingerprints(df: DataFrame, words: int = 3, key: str = "doc_id", text: str =
                 fps = pa.array([signed(fingerprint(t, words)) for t in part.column(1).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), fps], names=["doc_id", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return arrow_map(rows, run, "doc_id long, fp long")
 
 
 def ball_links(fps: DataFrame) -> DataFrame:
@@ -172,12 +174,13 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
                 keys = pa.array([np.array(v, np.uint64).view(np.int64) for _, v in made], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f for f, _ in made], pa.binary()), keys], names=["node", "fp", "variants"])
 
-    prints = written(texts.mapInArrow(run, "node long, fp binary, variants array<long>"), "bands")
+    prints = written(arrow_map(texts, run, "node long, fp binary, variants array<long>"), "bands")
     emitted = prints.select("node", F.posexplode("variants").alias("at", "variant"))
-    emitted = emitted.select("node", F.xxhash64(F.floor(F.col("at") / variants).cast("int"), "variant").alias("variant"))
-    order = Window.partitionBy("variant").orderBy("node")
-    met = emitted.select("node", F.lag("node").over(order).alias("before"), F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first")).filter("before is not null")
-    pairs = met.select(F.explode(F.array("before", "first")).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
+    emitted = emitted.select("node", F.floor(F.col("at") / variants).cast("int").alias("band"), "variant")
+    order = Window.partitionBy("band", "variant").orderBy("node")
+    met = emitted.select("node", "band", F.lag("node").over(order).alias("before"), F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first")).filter("before is not null")
+    near = met.groupBy("node", "band").agg(F.min("first").alias("first"), F.max("before").alias("before"))
+    pairs = near.select(F.explode(F.array("before", "first")).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
     fp = lambda x: prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
     pairs = pairs.join(fp("a"), "a").join(fp("b"), "b")
     apart = sum((F.bit_count(F.conv(F.hex(F.substring("fp_a", 1 + 7 * k, 7)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("fp_b", 1 + 7 * k, 7)), 16, 10).cast("long"))) for k in range(-(-BANDS * 8 // 7))), F.lit(0))
@@ -195,7 +198,7 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
                 ok = [jaccard(x, y, words) >= similarity for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    root = roots(both.mapInArrow(verify, "a long, b long")).withColumnRenamed("node", "member")
+    root = roots(arrow_map(both, verify, "a long, b long")).withColumnRenamed("node", "member")
     grouped = members.join(root, F.col("node") == F.col("member"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     grouped = written(grouped, "groups")
     return grouped.join(grouped.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select("doc_id", "group_id").distinct()
