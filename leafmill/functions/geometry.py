@@ -6,7 +6,7 @@ bx + dy + f); a rectangle is a struct x0, y0, x1, y1 with x0 <= x1, y0 <= y1.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,20 @@ SINGULAR, SLACK = 1e-12, 1e-4
 SIDES = ("x0", "y0", "x1", "y1")
 
 
+def bound(f):
+    """Evaluates composed arguments of f once each, not wherever f names them: nested calls would else grow as a power."""
+
+    @wraps(f)
+    def run(*args):
+        composed = [i for i, a in enumerate(args) if isinstance(a, Column) and "(" in str(a)[8:-2]]
+        if not composed:
+            return f(*args)
+        values = F.struct(*(args[i].alias(f"v{i}") for i in composed))
+        return F.transform(F.array(values), lambda v: f(*(v[f"v{i}"] if i in composed else a for i, a in enumerate(args))))[0]
+
+    return run
+
+
 def matrix(a, b, c, d, e, f) -> Column:
     return F.struct(*(F.lit(v).cast("double").alias(n) if not isinstance(v, Column) else v.cast("double").alias(n) for n, v in zip("abcdef", (a, b, c, d, e, f), strict=True)))
 
@@ -23,6 +37,7 @@ def matrix(a, b, c, d, e, f) -> Column:
 IDENTITY = (1, 0, 0, 1, 0, 0)
 
 
+@bound
 def then(m: Column, n: Column) -> Column:
     """First m, then n."""
     return matrix(
@@ -40,6 +55,7 @@ def determinant(m: Column) -> Column:
     return m["a"] * m["d"] - m["b"] * m["c"]
 
 
+@bound
 def invert(m: Column) -> Column:
     """Null if the matrix is singular or not finite."""
     det = determinant(m)
@@ -70,12 +86,14 @@ def bounds(points: list[tuple[Column, Column]]) -> Column:
     return _struct(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
 
 
+@bound
 def intersect(a: Column, b: Column) -> Column:
     """Empty where the two don't meet."""
     x0, y0 = F.greatest(a["x0"], b["x0"]), F.greatest(a["y0"], b["y0"])
     return _struct(x0, y0, F.greatest(x0, F.least(a["x1"], b["x1"])), F.greatest(y0, F.least(a["y1"], b["y1"])))
 
 
+@bound
 def union(a: Column, b: Column) -> Column:
     return _struct(F.least(a["x0"], b["x0"]), F.least(a["y0"], b["y0"]), F.greatest(a["x1"], b["x1"]), F.greatest(a["y1"], b["y1"]))
 
@@ -92,10 +110,12 @@ def is_empty(r: Column) -> Column:
     return (width(r) <= 0) | (height(r) <= 0)
 
 
+@bound
 def covers(a: Column, b: Column) -> Column:
     return (a["x0"] <= b["x0"] + SLACK) & (a["y0"] <= b["y0"] + SLACK) & (a["x1"] >= b["x1"] - SLACK) & (a["y1"] >= b["y1"] - SLACK)
 
 
+@bound
 def transformed(r: Column, m: Column) -> Column:
     """Bounds of the images of the four corners."""
     return bounds([apply(m, r[x], r[y]) for x in ("x0", "x1") for y in ("y0", "y1")])
@@ -105,6 +125,7 @@ def unit_square(m: Column) -> Column:
     return transformed(rect(0.0, 0.0, 1.0, 1.0), m)
 
 
+@bound
 def visible_part(m: Column, clip: Column) -> Column:
     """What of the unit square shows through clip, in unit coordinates: null if all of it, or if m is singular; zeros if none."""
     box = unit_square(m)
@@ -115,6 +136,7 @@ def visible_part(m: Column, clip: Column) -> Column:
     return F.when(invert(m).isNull() | covers(clip, box), F.lit(None)).when(is_empty(seen), none).otherwise(within)
 
 
+@bound
 def fit(box: Column, m: Column, target: Column) -> Column:
     """The matrix that, after m, takes box's image onto target: m, then scaling, then moving."""
     seen = transformed(box, m)
@@ -123,6 +145,7 @@ def fit(box: Column, m: Column, target: Column) -> Column:
     return then(m, matrix(sx, 0.0, 0.0, sy, target["x0"] - seen["x0"] * sx, target["y0"] - seen["y0"] * sy))
 
 
+@bound
 def crop_pixels(part: Column, w: Column, h: Column) -> Column:
     """Pixel rectangle x, y, w, h of part of the unit square, rounded outward, rows from the top; null if empty or whole."""
     x0, x1 = F.greatest(F.floor(part["x0"] * w), F.lit(0)), F.least(F.ceil(part["x1"] * w), w)
