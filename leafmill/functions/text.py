@@ -39,12 +39,21 @@ def percent(before: Column, after: Column) -> Column:
 
 
 def ratio(part: Column, whole: Column) -> Column:
-    return F.when(whole == 0, "-").otherwise(F.format_string("%.1f%%", part / F.when(whole == 0, F.lit(None)).otherwise(whole) * 100.0))
+    return F.when(whole == 0, "-").otherwise(F.format_string("%.0f%%", part * 100.0 / F.when(whole == 0, F.lit(None)).otherwise(whole)))
 
 
 def truncated_left(text: Column, width: int) -> Column:
-    """The end of a text that is too long, after an ellipsis."""
-    return F.when(F.char_length(text) <= width, text).otherwise(F.concat(F.lit("…"), F.substring(text, 1 - width, width - 1)))
+    """The end of a text that is too long, after three dots."""
+    return F.when(F.char_length(text) <= width, text).otherwise(F.concat(F.lit("..."), F.substring(text, 3 - width, width - 3)))
+
+
+def size_cell(size: Column, whole: Column) -> Column:
+    """A size and its share of the whole; a dash if there is none."""
+    return F.when(size.isNull(), "-").otherwise(F.concat(size.cast("bigint").cast("string"), F.lit(" ("), ratio(size, whole), F.lit(")")))
+
+
+def score_cell(score: Column) -> Column:
+    return F.when(score.isNull(), "-").otherwise(F.format_string("%.3f", score))
 
 
 def without_tag(name: Column) -> Column:

@@ -770,9 +770,9 @@ def verify(data: bytes, pages: int) -> list[str]:
 # ---- all of it
 
 
-def compress(data: bytes, preset: str, check: bool = True) -> tuple[bytes, Report, str | None]:
-    """The smaller file, what was done, and why it was refused, if it was; a refused or grown file is given back as it was."""
-    report, p = Report(), PRESETS[preset]
+def compress(data: bytes, preset: str | dict, check: bool = True) -> tuple[bytes, Report, str | None]:
+    """The smaller file by a preset or settings of that shape, what was done, and why it was refused, if it was; a refused or grown file is given back as it was."""
+    report, p = Report(), PRESETS[preset] if isinstance(preset, str) else preset
     try:
         doc = read(data)
         pages = len(pages_of(doc))

@@ -178,7 +178,7 @@ def shown_strings(df: DataFrame, id: str = "path", content: str = "content") ->
     return _rows(df, SHOWN, make, id, content)
 
 
-def compressed(df: DataFrame, preset: str, id: str = "path", content: str = "content", check: bool = True) -> DataFrame:
+def compressed(df: DataFrame, preset: str | dict, id: str = "path", content: str = "content", check: bool = True) -> DataFrame:
     """One row for each file: its sizes, output, refusal, notes, image rows and stage ledger."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FILES))
@@ -194,7 +194,7 @@ def compressed(df: DataFrame, preset: str, id: str = "path", content: str = "con
                 data = data or b""
                 out, report, refusal = compress(data, preset, check)
                 images = [{k: row.get(k) for k in ("num", "gen", "width", "height", "dpi", "action", "bytes_in", "bytes_out")} for row in report.images]
-                rows.append({"doc_id": key, "preset": preset, "input_bytes": len(data), "output_bytes": len(out), "refusal": refusal, "output": out, "notes": report.notes, "images": images, "stages": report.stages})
+                rows.append({"doc_id": key, "preset": preset if isinstance(preset, str) else "custom", "input_bytes": len(data), "output_bytes": len(out), "refusal": refusal, "output": out, "notes": report.notes, "images": images, "stages": report.stages})
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return df.select(F.col(id).cast("string"), content).mapInArrow(run, schema)
