@@ -236,11 +236,12 @@ def reachable(spark, sf):
 
 @query(f"""
 WITH RECURSIVE e AS ({LINKS}), r AS (SELECT CAST(8 AS BIGINT) AS id UNION SELECT dst FROM e JOIN r ON src = id)
-SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS new FROM documents WHERE doc_id IN (SELECT id FROM r)
+SELECT doc_id AS id, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS new FROM documents WHERE doc_id IN (SELECT id FROM r)
 """)
 def prune_and_renumber(spark, sf):
+    """What is reached is numbered anew within each of sixteen groups."""
     ids = reachable(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return ids.select("id", F.row_number().over(Window.orderBy("id")).cast("bigint").alias("new"))
+    return ids.select("id", F.row_number().over(Window.partitionBy(F.col("id") % 16).orderBy("id")).cast("bigint").alias("new"))
 
 
 # ---- lookups
