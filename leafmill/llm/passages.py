@@ -166,11 +166,12 @@ class FingerprintIndex:
         """
         if not self.segments:
             return self.spark.createDataFrame([], "doc_id long, text_hash long, spans array<struct<first:int,windows:int>>")
+        # what rows are joined to is written first: a join of two scans, whose hot keys Spark splits over tasks
         rows = self.read()
         shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), (F.min("print") != F.max("print")).alias("unlike")).filter("a < z").select("anchor", "unlike")
-        rows = written(rows.join(shared, "anchor"), "shared")
+        rows = written(rows.join(written(shared, "anchors"), "anchor"), "shared")
         owners = rows.groupBy("anchor", "print").agg(F.min("doc_id").alias("owner"))
-        rows = rows.join(owners, ["anchor", "print"])
+        rows = rows.join(written(owners, "owners"), ["anchor", "print"])
         whole = rows.filter("doc_id > owner").select("doc_id", "text_hash", "first", "windows")
         edges = rows.filter("doc_id = owner and unlike").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("parts"))
         schema = pa.schema([("anchor", pa.int64()), ("print", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int32())])
@@ -192,7 +193,7 @@ class FingerprintIndex:
         with_text = _hashed(docs, key, text).join(edges, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "parts")
         windows = written(arrow_map(with_text, single, "anchor long, print long, doc_id long, text_hash long, first int"), "windows")
         least = windows.groupBy("anchor", "print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-        partly = windows.join(least, ["anchor", "print"]).filter("doc_id > least").select("doc_id", "text_hash", "first", F.lit(1).alias("windows"))
+        partly = windows.join(written(least, "least"), ["anchor", "print"]).filter("doc_id > least").select("doc_id", "text_hash", "first", F.lit(1).alias("windows"))
         return whole.union(partly).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "windows")).alias("spans"))
 
 
