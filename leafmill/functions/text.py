@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,6 +97,27 @@ def safe_name(name: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) == "", "Untitled").otherwise(out)
 
 
+def safe_name_of(name: str) -> str:
+    """safe_name() of one text."""
+    return re.sub(r"[^\x21-\x7e]|[\[\](){}<>/%]", "_", name)[:127] or "Untitled"
+
+
+def standard_font_of(name: str) -> str | None:
+    """standard_font() of one text."""
+    folded = re.sub("[ ,_-]", "", re.sub(r"^[A-Z]{6}\+", "", name)).lower()
+    for prefix, family in FAMILIES:
+        if folded == prefix if family == "Symbol" else folded.startswith(prefix):
+            rest = folded[len(prefix) :]
+            break
+    else:
+        return None
+    bold, slant = "bold" in rest, bool(re.search("italic|oblique", rest))
+    if not re.fullmatch(f"(?:{STYLE_WORDS})*", rest) or family in ("Symbol", "ZapfDingbats") and (bold or slant):
+        return None
+    style = "Bold" * bold + ("Italic" if family == "Times" else "Oblique") * slant
+    return f"{family}-{style}" if style else "Times-Roman" if family == "Times" else family
+
+
 def problem_category(problem: Column) -> Column:
     """The first kind of problem whose words the text has."""
     # What to look for, in this order, and the category.

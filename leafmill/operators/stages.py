@@ -14,6 +14,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from leafmill.functions.glyphs import character
+from leafmill.functions.text import STANDARD_ENCODINGS, standard_font_of
+from leafmill.functions.type1 import to_compact
 from leafmill.operators.presets import PRESETS, STRIP_RULES, TINY, WRAPPER
 from leafmill.sources.objects import Document, FormatError, Name, Parser, Ref, Stream, Text, canonical, content_of, operations, read, references, smaller
 
@@ -28,6 +31,7 @@ class Refusal(Exception):
 @dataclass
 class Report:
     images: list[dict] = field(default_factory=list)
+    fonts: list[dict] = field(default_factory=list)
     stages: list[dict] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
 
@@ -517,6 +521,87 @@ def _wrap(doc: Document, ref: Ref, part: tuple) -> None:
     doc.objects[ref] = Stream(head, content)
 
 
+# ---- fonts
+
+
+def _programs(doc: Document) -> dict[Ref, tuple[bytes, list[tuple[Ref, dict]]]]:
+    """Embedded programs with their key and the simple fonts that use them, in order of the fonts."""
+    out: dict[Ref, tuple[bytes, list[tuple[Ref, dict]]]] = {}
+    for ref in sorted(doc.objects):
+        font = doc.objects[ref]
+        if isinstance(font, dict) and font.get(b"Type") == b"Font" and font.get(b"Subtype") not in (b"Type3", b"Type0", b"CIDFontType0", b"CIDFontType2"):
+            holder = doc.get(font, b"FontDescriptor")
+            for key in (b"FontFile", b"FontFile2", b"FontFile3"):
+                if isinstance(holder, dict) and isinstance(program := holder.get(key), Ref) and isinstance(doc.resolve(program), Stream):
+                    out.setdefault(program, (key, []))[1].append((ref, holder))
+    return out
+
+
+def _default_fonts(doc: Document) -> set[Ref]:
+    """Fonts that default appearances name, or that draw glyphs of other fonts: these stay as they are."""
+    names, out = set(), set()
+    for x in doc.objects.values():
+        if isinstance(x, dict) and isinstance(da := doc.resolve(x.get(b"DA")), Text):
+            words = re.split(rb"[ \t\n\r\f\0]", bytes(da))
+            names |= {a[1:] for a, _, c in zip(words, words[1:], words[2:], strict=False) if c == b"Tf" and a.startswith(b"/")}
+    for x in doc.objects.values():
+        d = x.dict if isinstance(x, Stream) else x
+        if isinstance(d, dict):
+            defaults = doc.get(doc.get(d, b"DR"), b"Font") or {}
+            out |= {r for n, r in defaults.items() if n in names and isinstance(r, Ref)}
+            if d.get(b"Subtype") == b"Type3":
+                out |= {r for r in (doc.get(doc.get(d, b"Resources"), b"Font") or {}).values() if isinstance(r, Ref)}
+    return out
+
+
+def _replaceable(doc: Document, font: dict, holder: dict) -> str | None:
+    """The standard font that a viewer's own copy can stand in for."""
+    name = doc.get(font, b"BaseFont")
+    standard = standard_font_of(name.decode("latin-1")) if isinstance(name, Name) else None
+    if standard is None:
+        return None
+    encoding, symbolic = doc.get(font, b"Encoding"), bool((doc.get(holder, b"Flags") or 0) & 4)
+    if standard in ("Symbol", "ZapfDingbats"):
+        return standard if encoding is None else None
+    if encoding is None:
+        return None if symbolic else standard
+    if isinstance(encoding, dict):
+        given = doc.get(encoding, b"Differences") or []
+        known = all(isinstance(x, int) or isinstance(x, Name) and character(x.decode("latin-1")) is not None for x in given)
+        encoding = (doc.get(encoding, b"BaseEncoding") or Name(b"StandardEncoding")) if known else None
+    return standard if isinstance(encoding, Name) and encoding.decode("latin-1") in STANDARD_ENCODINGS else None
+
+
+def convert_fonts(doc: Document, preset: dict, report: Report) -> None:
+    """Standard fonts lose their programs; Type 1 programs become compact ones where that is smaller."""
+    kept = _default_fonts(doc)
+    for program, (key, fonts) in _programs(doc).items():
+        stream = doc.resolve(program)
+        row = {"num": program.num, "gen": program.gen, "name": bytes(doc.get(fonts[0][0], b"BaseFont") or b"").decode("latin-1"), "program": key.decode(), "bytes_in": len(stream.data), "bytes_out": len(stream.data), "action": "kept"}
+        report.fonts.append(row)
+        standard = [_replaceable(doc, doc.objects[ref], holder) for ref, holder in fonts]
+        if any(ref in kept for ref, _ in fonts):
+            row["action"] = "kept: default appearance"
+        elif preset["unembed"] and all(standard):
+            for (ref, holder), name in zip(fonts, standard, strict=True):
+                holder.pop(key, None)
+                doc.objects[ref][b"BaseFont"] = holder[b"FontName"] = Name(name.encode())
+            row |= {"action": "unembedded", "bytes_out": 0}
+        elif preset["cff"] and key == b"FontFile":
+            try:
+                packed = zlib.compress(to_compact(content_of(doc, stream)), 9)
+            except (FormatError, ValueError, OverflowError) as e:
+                row["action"] = f"kept: {e}"
+                continue
+            if len(packed) >= len(stream.data):
+                row["action"] = "kept: not smaller"
+                continue
+            doc.objects[program] = Stream({b"Subtype": Name(b"Type1C"), b"Filter": Name(b"FlateDecode")}, packed)
+            for _, holder in fonts:
+                holder[b"FontFile3"] = holder.pop(key, program)
+            row |= {"action": "converted to CFF", "bytes_out": len(packed)}
+
+
 # ---- stripping and structure
 
 
@@ -784,7 +869,7 @@ def compress(data: bytes, preset: str | dict, check: bool = True) -> tuple[bytes
     normalize(doc)
     usage = Usage(doc)
     before = len(data)
-    for name, run in (("images", lambda: recompress_images(doc, p, usage, report)), ("strip", lambda: report.notes.extend([f"entries stripped: {n}"] if (n := strip(doc, p["strip"])) else [])), ("structure", lambda: structure(doc, report))):
+    for name, run in (("images", lambda: recompress_images(doc, p, usage, report)), ("fonts", lambda: convert_fonts(doc, p, report)), ("strip", lambda: report.notes.extend([f"entries stripped: {n}"] if (n := strip(doc, p["strip"])) else [])), ("structure", lambda: structure(doc, report))):
         began = time.perf_counter()
         run()
         after = len(smaller(doc)[0])

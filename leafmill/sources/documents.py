@@ -53,6 +53,7 @@ SHOWN = "doc_id string, num int, gen int, strings array<binary>"
 COMPRESSED = (
     "doc_id string, preset string, input_bytes bigint, output_bytes bigint, refusal string, output binary, notes array<string>, "
     "images array<struct<num:int,gen:int,width:int,height:int,dpi:float,action:string,bytes_in:bigint,bytes_out:bigint>>, "
+    "fonts array<struct<num:int,gen:int,name:string,program:string,bytes_in:bigint,action:string,bytes_out:bigint>>, "
     "stages array<struct<stage_no:int,name:string,bytes_before:bigint,bytes_after:bigint,elapsed_ms:double>>"
 )
 
@@ -194,7 +195,7 @@ def compressed(df: DataFrame, preset: str | dict, id: str = "path", content: str
                 data = data or b""
                 out, report, refusal = compress(data, preset, check)
                 images = [{k: row.get(k) for k in ("num", "gen", "width", "height", "dpi", "action", "bytes_in", "bytes_out")} for row in report.images]
-                rows.append({"doc_id": key, "preset": preset if isinstance(preset, str) else "custom", "input_bytes": len(data), "output_bytes": len(out), "refusal": refusal, "output": out, "notes": report.notes, "images": images, "stages": report.stages})
+                rows.append({"doc_id": key, "preset": preset if isinstance(preset, str) else "custom", "input_bytes": len(data), "output_bytes": len(out), "refusal": refusal, "output": out, "notes": report.notes, "images": images, "fonts": report.fonts, "stages": report.stages})
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return df.select(F.col(id).cast("string"), content).mapInArrow(run, schema)
@@ -204,6 +205,10 @@ def image_rows(done: DataFrame) -> DataFrame:
     return done.select("doc_id", "preset", F.explode("images").alias("i")).select("doc_id", "preset", "i.*")
 
 
+def font_rows(done: DataFrame) -> DataFrame:
+    return done.select("doc_id", "preset", F.explode("fonts").alias("f")).select("doc_id", "preset", "f.*")
+
+
 def stage_rows(done: DataFrame) -> DataFrame:
     return done.select("doc_id", "preset", F.explode("stages").alias("s")).select("doc_id", "preset", "s.*")
 

@@ -103,7 +103,7 @@ def test_compressing_a_table(table):
     assert done.filter("refusal is not null and output_bytes <> input_bytes").count() == 0
     assert all(r.ok == (r.doc_id not in ("junk", "none")) for r in documents.outcome(done).collect())
     assert documents.totals(done).first().refused == 2
-    assert documents.image_rows(done).count() >= 9 and documents.stage_rows(done).count() == 3 * len(PROBES)
+    assert documents.image_rows(done).count() >= 9 and documents.stage_rows(done).count() == 4 * len(PROBES)
 
 
 def test_guards():
