@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from leafmill.functions.glyphs import character
+from leafmill.functions.mappings import Space, mapped
 from leafmill.functions.text import STANDARD_ENCODINGS, standard_font_of
 from leafmill.functions.type1 import to_compact
 from leafmill.operators.presets import PRESETS, STRIP_RULES, TINY, WRAPPER
@@ -344,14 +345,17 @@ def decode_image(doc: Document, stream: Stream) -> Raster | str:
         space, channels = "indexed", 1
     elif isinstance(cs, list) and len(cs) > 1 and cs[0] == b"ICCBased":
         space, channels = {1: ("gray", 1), 3: ("rgb", 3), 4: ("cmyk", 4)}.get(doc.get(cs[1], b"N"), ("other", 0))
-    if not channels:
-        return "color space"
-    if d.get(b"Decode") is not None and not stencil:
-        return "decode array"
+    mapping = None
     try:
+        if not channels:
+            mapping = Space(doc, d.get(b"ColorSpace"))
+            space, channels = mapping.kind, mapping.channels
         body = content_of(doc, stream)
-    except FormatError as e:
-        return str(e)
+    except (FormatError, KeyError, TypeError, ValueError, IndexError) as e:
+        return str(e) if isinstance(e, FormatError) else "color space"
+    decode = [doc.resolve(v) for v in doc.get(d, b"Decode") or []]
+    if decode and not stencil and (mapping or space == "indexed" or len(decode) != 2 * channels):
+        return "decode array"
     if bits not in (1, 2, 4, 8, 16):
         return "bits per component"
     stride = (w * channels * bits + 7) // 8
@@ -365,9 +369,17 @@ def decode_image(doc: Document, stream: Stream) -> Raster | str:
     else:
         each = np.unpackbits(rows, axis=1).reshape(h, -1, bits)
         out = (each * (1 << np.arange(bits - 1, -1, -1))).sum(axis=2).astype(np.uint8)
-        if space != "indexed":
+        if space != "indexed" and not mapping:
             out = (out.astype(np.int64) * 255 // (2**bits - 1)).astype(np.uint8)
     out = out[:, : w * channels].reshape(h, w, channels)
+    if mapping:
+        try:
+            return Raster(space, mapped(mapping, out, 8 if bits == 16 else bits))
+        except FormatError as e:
+            return f"color space: {e}"
+    if decode and not stencil:
+        low, high = (np.array(decode[k::2], float) for k in (0, 1))
+        out = np.floor(np.clip(low + out / 255 * (high - low), 0, 1) * 255 + 0.5).astype(np.uint8)
     return Raster("bitonal" if bits == 1 and space == "gray" else space, out)
 
 
@@ -475,11 +487,16 @@ def _image(doc: Document, ref: Ref, stream: Stream, preset: dict, usage: Usage,
     if not names:
         return "kept: class excluded"
     d, steps, part = stream.dict, [], None
+    mapped_ = isinstance(cs := doc.get(d, b"ColorSpace"), list) and cs[:1] not in ([b"Indexed"], [b"ICCBased"])
+    if mapped_:
+        steps.append("alternate")
+    soft = _soft_mask(doc, ref)
     keyed, stencil = isinstance(doc.get(d, b"Mask"), list), doc.get(d, b"ImageMask") is True
     dpi = row["dpi"] = usage.resolution(ref, *raster.size)
     indexed, masked = raster.kind == "indexed", isinstance(doc.get(d, b"SMask") or doc.get(d, b"Mask"), Stream)
+    d = doc.resolve(ref).dict
     tiny = raster.size[0] * raster.size[1] < TINY
-    profile = isinstance(doc.get(d, b"ColorSpace"), list) and not indexed
+    profile = isinstance(doc.get(d, b"ColorSpace"), list) and not indexed and not mapped_
     if preset["reduce"] and not (keyed or stencil or profile or masked):
         less = reduce_raster(raster)
         if less.kind != raster.kind or less.size != raster.size:
@@ -501,7 +518,7 @@ def _image(doc: Document, ref: Ref, stream: Stream, preset: dict, usage: Usage,
             steps.append("downsampled")
     body, head = encode_image(raster)
     if len(body) >= len(stream.data):
-        return "kept: not smaller"
+        return "kept: not smaller" + soft
     new = {k: v for k, v in d.items() if k not in (b"Decode", b"DecodeParms", b"DP", b"F", b"SMaskInData") or (k == b"Decode" and stencil)} | head
     if not stencil and not indexed and not profile:
         new[b"ColorSpace"] = Name({"bitonal": b"DeviceGray", "gray": b"DeviceGray", "rgb": b"DeviceRGB", "cmyk": b"DeviceCMYK"}[raster.kind])
@@ -509,7 +526,28 @@ def _image(doc: Document, ref: Ref, stream: Stream, preset: dict, usage: Usage,
     if part:
         _wrap(doc, ref, part)
     row["bytes_out"] = len(body)
-    return "+".join(steps) or "recoded"
+    return ("+".join(steps) or "recoded") + soft
+
+
+def _soft_mask(doc: Document, ref: Ref) -> str:
+    """A soft mask that hides nothing goes; one of two levels becomes a stencil, in which ones hide."""
+    d = doc.resolve(ref).dict
+    mask = doc.resolve(d.get(b"SMask"))
+    if not isinstance(mask, Stream) or b"Matte" in mask.dict or not isinstance(d.get(b"SMask"), Ref):
+        return ""
+    raster = decode_image(doc, mask)
+    if isinstance(raster, str) or raster.kind not in ("gray", "bitonal"):
+        return ""
+    if (raster.data == 255).all():
+        d.pop(b"SMask")
+        return "+smask-removed"
+    if np.isin(raster.data, (0, 255)).all():
+        body, head = encode_image(Raster("bitonal", 255 - raster.data))
+        if len(body) < len(mask.data):
+            d[b"Mask"] = doc.add(Stream({b"Type": Name(b"XObject"), b"Subtype": Name(b"Image"), b"ImageMask": True} | head, body))
+            d.pop(b"SMask")
+            return "+smask-stencil"
+    return ""
 
 
 def _wrap(doc: Document, ref: Ref, part: tuple) -> None:
