@@ -20,17 +20,19 @@ def by_range(rows: DataFrame, value: Column, ranges: list[tuple], default=None)
     return out
 
 
-def range_join(rows: DataFrame, value: str, ranges: DataFrame, key: str, width: int) -> DataFrame:
+def range_join(rows: DataFrame, value: str, ranges: DataFrame, width: int) -> DataFrame:
     """rows with the columns of the first range (ordinal, low, high, ...) that holds value; rows without one are kept.
 
-    Ranges are cut into cells of width and joined by cell, so no row meets every range.
+    Ranges are cut into cells of width; a cell lists its ranges in order, and rows are joined to their one cell, so no
+    row is multiplied and none meets a range of another cell.
     """
     cell = lambda c: F.floor(c / width).cast("bigint")
+    extra = [c for c in ranges.columns if c not in ("ordinal", "low", "high")]
     cells = ranges.withColumn("__cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
-    met = rows.withColumn("__cell", cell(F.col(value))).join(cells, "__cell").filter(F.col(value).between(F.col("low"), F.col("high")))
-    extra = [c for c in ranges.columns if c != "ordinal"]
-    first = met.groupBy(key).agg(F.min(F.struct("ordinal", *extra)).alias("hit")).select(key, "hit.*")
-    return rows.join(first, key, "left")
+    cells = cells.groupBy("__cell").agg(F.sort_array(F.collect_list(F.struct("ordinal", "low", "high", *extra))).alias("__ranges"))
+    met = rows.withColumn("__cell", cell(F.col(value))).join(cells, "__cell", "left")
+    hit = met.withColumn("__hit", F.get(F.filter("__ranges", lambda r: F.col(value).between(r["low"], r["high"])), F.lit(0)))
+    return hit.select(*rows.columns, *(F.col(f"__hit.{c}").alias(c) for c in ("low", "high", *extra)))
 
 
 def all_or_none(rows: DataFrame, usage: DataFrame, on: str, group: str, value: str) -> DataFrame:

@@ -267,12 +267,12 @@ def scoped_lookup(spark, sf):
 
 
 @query("""
-SELECT DISTINCT l_orderkey, l_linenumber, CASE WHEN l_partkey BETWEEN 10 AND 40 THEN l_partkey - 10 WHEN l_partkey BETWEEN 30 AND 90 THEN l_partkey + 1000 WHEN l_partkey BETWEEN 85 AND 300 THEN 7 ELSE 0 END AS cid, l_partkey FROM lineitem
+SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey BETWEEN 10 AND 40 THEN l_partkey - 10 WHEN l_partkey BETWEEN 30 AND 90 THEN l_partkey + 1000 WHEN l_partkey BETWEEN 85 AND 300 THEN 7 ELSE 0 END AS cid, l_partkey FROM lineitem
 """)
 def range_lookup(spark, sf):
     ranges = spark.createDataFrame([(0, 10, 40, -10, None), (1, 30, 90, 1000, None), (2, 85, 300, None, 7)], "ordinal int, low bigint, high bigint, shift bigint, fixed bigint")
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("k")).distinct()
-    hit = lookup.range_join(rows, "l_partkey", ranges, "k", 64)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    hit = lookup.range_join(rows, "l_partkey", ranges, 64)
     return hit.select("l_orderkey", "l_linenumber", F.coalesce("fixed", F.col("l_partkey") + F.col("shift"), F.lit(0)).alias("cid"), "l_partkey")
 
 

@@ -55,7 +55,7 @@ def test_resolution_and_boxes(spark):
 def test_first_range_wins(spark):
     rows = spark.createDataFrame([(i,) for i in range(0, 40)], "v int")
     ranges = spark.createDataFrame([(0, 5, 12, "a"), (1, 10, 30, "b")], "ordinal int, low int, high int, r string")
-    got = {r.v: r.r for r in lookup.range_join(rows.withColumn("k", F.col("v")), "v", ranges, "k", 7).collect()}
+    got = {r.v: r.r for r in lookup.range_join(rows, "v", ranges, 7).collect()}
     assert got == {v: "a" if 5 <= v <= 12 else "b" if 10 <= v <= 30 else None for v in range(40)}
 
 
