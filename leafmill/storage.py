@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; one of our own only where that is unset."""
@@ -17,8 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written as Parquet in shared storage and read again."""
-    path = f"{shared_dir(df.sparkSession)}/leafmill-{uuid.uuid4().hex}"
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written as Parquet in shared storage and read again: cuts the lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/leafmill-{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes what settled() wrote for this application, once nothing reads it any more; how many tables there were."""
+    paths, jvm = _made.pop(spark.sparkContext.applicationId, []), spark.sparkContext._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
