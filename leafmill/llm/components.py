@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Rows of a table of a round in one file, about.
+FILE_ROWS = 250_000
+
 
 def roots(edges: DataFrame) -> DataFrame:
     """node, root: one root for each component of the edges (a, b: long); nodes without an edge are absent.
@@ -26,16 +29,17 @@ def roots(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     now = written(edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).filter("a < b").distinct(), "edges")
     maps = []
-    while not now.isEmpty():
+    while n := now.count():
+        files = -(-n // FILE_ROWS)  # what a round writes has 2 n rows at most
         rank = lambda c, salt=len(maps): F.xxhash64(F.lit(salt), c)
         both = now.union(now.select("b", "a"))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", rank(F.col("b"))).alias("near"))
         parent = F.when(rank(F.col("near")) < rank(F.col("node")), F.col("near")).otherwise(F.col("node"))
-        step = written(least.select("node", parent.alias("root")), "parents")
+        step = written(least.select("node", parent.alias("root")).coalesce(2 * files), "parents")
         maps.append(step)
         a, b = step.toDF("a", "x"), step.toDF("b", "y")
         now = now.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
-        now = written(now, "edges")
+        now = written(now.coalesce(files), "edges")
     if not maps:
         return spark.createDataFrame([], "node long, root long")
     out = maps[-1]
