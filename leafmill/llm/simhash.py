@@ -112,7 +112,7 @@ def components(fps: DataFrame) -> DataFrame:
     root = roots(ball_links(own.select("fp"))).withColumnRenamed("node", "fp")
     own = written(own.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     smallest = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(own.join(smallest, "root").select("fp", "component_id"), "fp")
+    return fps.join(written(own.join(written(smallest, "least"), "root").select("fp", "component_id"), "components"), "fp")
 
 
 def hex16(fp: Column) -> Column:
@@ -201,4 +201,5 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     root = roots(arrow_map(both, verify, "a long, b long")).withColumnRenamed("node", "member")
     grouped = members.join(root, F.col("node") == F.col("member"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     grouped = written(grouped, "groups")
-    return grouped.join(grouped.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select("doc_id", "group_id").distinct()
+    least = written(grouped.groupBy("root").agg(F.min("doc_id").alias("group_id")), "least")
+    return grouped.join(least, "root").select("doc_id", "group_id").distinct()
