@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.storage import settled as written
+from leafmill.storage import shared_dir
+
+__all__ = ["arrow_map", "joined_words", "shared_dir", "table", "word_bounds", "written"]
+
 #: Bytes that part words: space and 0x09 to 0x0D. bytes.split() parts on exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Rows in a batch that goes to Python.
@@ -24,23 +26,6 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leafmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def joined_words(text: str | None, lower: bool = False) -> bytes:
     """The words of a text, joined by one space, as UTF-8."""
     if not text:
