@@ -49,6 +49,7 @@ from .components import roots
 
 BLOCK, ROWS = 1 << 15, 512
 BANDS, UNSURE = 8, 5
+BAND_BITS = (BANDS - 1).bit_length()
 
 
 def shingle_hashes(joined: bytes, words: int, seed: int = 42):
@@ -160,7 +161,7 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     # rows of one text are one node, the smallest id of the text
     sums = rows.select("doc_id", F.xxhash64("text").alias("h"), F.md5("text").alias("m"))
     nodes = sums.groupBy("h", "m").agg(F.min("doc_id").alias("node"))
-    members = written(sums.join(nodes, ["h", "m"]).select("doc_id", "node"), "members")
+    members = written(sums.join(written(nodes, "nodes"), ["h", "m"]).select("doc_id", "node"), "members")
     heads = members.filter("doc_id = node").select("node").distinct()
     count = heads.count()
     width, variants = band_width(count), 1 << UNSURE
@@ -176,9 +177,11 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
 
     prints = written(arrow_map(texts, run, "node long, fp binary, variants array<long>"), "bands")
     emitted = prints.select("node", F.posexplode("variants").alias("at", "variant"))
-    emitted = emitted.select("node", F.floor(F.col("at") / variants).cast("int").alias("band"), "variant")
-    order = Window.partitionBy("band", "variant").orderBy("node")
-    met = emitted.select("node", "band", F.lag("node").over(order).alias("before"), F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first")).filter("before is not null")
+    # the band in the highest bits, under it a hash of band and variant: one number to shuffle
+    band = F.floor(F.col("at") / variants).cast("long")
+    emitted = emitted.select("node", F.shiftleft(band, 64 - BAND_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(band, "variant"), BAND_BITS)).alias("variant"))
+    order = Window.partitionBy("variant").orderBy("node")
+    met = emitted.select("node", F.shiftrightunsigned("variant", 64 - BAND_BITS).alias("band"), F.lag("node").over(order).alias("before"), F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first")).filter("before is not null")
     near = met.groupBy("node", "band").agg(F.min("first").alias("first"), F.max("before").alias("before"))
     pairs = near.select(F.explode(F.array("before", "first")).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
     fp = lambda x: prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
