@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 #: Below this size a determinant counts as zero; and the slack of covers().
 SINGULAR, SLACK = 1e-12, 1e-4
 SIDES = ("x0", "y0", "x1", "y1")
+#: Expressions whose text is longer than this are evaluated once and bound.
+LONG = 150
 
 
 def bound(f):
-    """Evaluates composed arguments of f once each, not wherever f names them: nested calls would else grow as a power."""
+    """Evaluates long arguments of f once each, not wherever f names them: nested calls would else grow as a power."""
 
     @wraps(f)
     def run(*args):
-        composed = [i for i, a in enumerate(args) if isinstance(a, Column) and "(" in str(a)[8:-2]]
+        composed = [i for i, a in enumerate(args) if isinstance(a, Column) and len(str(a)) > LONG]
         if not composed:
             return f(*args)
         values = F.struct(*(args[i].alias(f"v{i}") for i in composed))
@@ -72,6 +74,9 @@ def unit_extent(m: Column) -> tuple[Column, Column]:
 
 def rect(x0, y0, x1, y1) -> Column:
     """The rectangle with these opposite corners."""
+    if not any(isinstance(v, Column) for v in (x0, y0, x1, y1)):
+        x0, y0, x1, y1 = min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)
+        return _struct(*(F.lit(float(v)) for v in (x0, y0, x1, y1)))
     x0, y0, x1, y1 = (v if isinstance(v, Column) else F.lit(v) for v in (x0, y0, x1, y1))
     at = (F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1))
     return F.struct(*(v.cast("double").alias(n) for n, v in zip(SIDES, at, strict=True)))
@@ -121,8 +126,9 @@ def transformed(r: Column, m: Column) -> Column:
     return bounds([apply(m, r[x], r[y]) for x in ("x0", "x1") for y in ("y0", "y1")])
 
 
+@bound
 def unit_square(m: Column) -> Column:
-    return transformed(rect(0.0, 0.0, 1.0, 1.0), m)
+    return bounds([(m["e"], m["f"]), (m["a"] + m["e"], m["b"] + m["f"]), (m["c"] + m["e"], m["d"] + m["f"]), (m["a"] + m["c"] + m["e"], m["b"] + m["d"] + m["f"])])
 
 
 @bound
