@@ -495,6 +495,8 @@ def _image(doc: Document, ref: Ref, stream: Stream, preset: dict, usage: Usage,
     dpi = row["dpi"] = usage.resolution(ref, *raster.size)
     indexed, masked = raster.kind == "indexed", isinstance(doc.get(d, b"SMask") or doc.get(d, b"Mask"), Stream)
     d = doc.resolve(ref).dict
+    mask = _Mask(doc, ref) if masked else None
+    follows = mask is None or mask.raster is not None
     tiny = raster.size[0] * raster.size[1] < TINY
     profile = isinstance(doc.get(d, b"ColorSpace"), list) and not indexed and not mapped_
     if preset["reduce"] and not (keyed or stencil or profile or masked):
@@ -503,14 +505,14 @@ def _image(doc: Document, ref: Ref, stream: Stream, preset: dict, usage: Usage,
             raster = less
             steps.append("reduced")
     seen = usage.crop(ref)
-    if preset["clip"] and seen and not masked:
+    if preset["clip"] and seen and follows:
         cut = crop_raster(raster, seen)
         total = raster.size[0] * raster.size[1]
         kept = cut[0].size[0] * cut[0].size[1] if cut else total
         if cut and kept * 16 <= total * 15 and len(stream.data) * (total - kept) // total > WRAPPER:
             raster, part = cut
             steps.append("clipped")
-    if dpi and preset["threshold"] >= 0 and dpi > preset["threshold"] and not (keyed or tiny or masked):
+    if dpi and preset["threshold"] >= 0 and dpi > preset["threshold"] and not (keyed or tiny) and follows:
         factor = preset["target"] / dpi
         small = resize_raster(raster, *(max(1, int(np.floor(n * factor + 0.5))) for n in raster.size))
         if small:
@@ -523,12 +525,36 @@ def _image(doc: Document, ref: Ref, stream: Stream, preset: dict, usage: Usage,
     if not stencil and not indexed and not profile:
         new[b"ColorSpace"] = Name({"bitonal": b"DeviceGray", "gray": b"DeviceGray", "rgb": b"DeviceRGB", "cmyk": b"DeviceCMYK"}[raster.kind])
     doc.objects[ref] = Stream(new, body)
+    if mask and mask.raster is not None and (part or "downsampled" in steps):
+        mask.follow(part, raster.size)
     if part:
         _wrap(doc, ref, part)
     row["bytes_out"] = len(body)
     return ("+".join(steps) or "recoded") + soft
 
 
+class _Mask:
+    """An image's own mask, which is cut and resized as the image is; raster is None where it can't be."""
+
+    def __init__(self, doc: Document, ref: Ref):
+        d = doc.resolve(ref).dict
+        self.doc, self.ref = doc, d.get(b"SMask") if b"SMask" in d else d.get(b"Mask")
+        stream = doc.resolve(self.ref)
+        users = sum(isinstance(x, Stream) and self.ref in (x.dict.get(b"SMask"), x.dict.get(b"Mask")) for x in doc.objects.values())
+        raster = decode_image(doc, stream) if isinstance(self.ref, Ref) and users == 1 and b"Matte" not in stream.dict else ""
+        self.raster = raster if isinstance(raster, Raster) else None
+
+    def follow(self, part: tuple | None, size: tuple[int, int]) -> None:
+        raster = self.raster
+        if part and (cut := crop_raster(raster, part)):
+            raster = cut[0]
+        if raster.size[0] > size[0] and raster.size[1] > size[1]:
+            raster = resize_raster(raster, *size) or raster
+        body, head = encode_image(raster)
+        old = self.doc.resolve(self.ref)
+        self.doc.objects[self.ref] = Stream({k: v for k, v in old.dict.items() if k not in (b"DecodeParms", b"DP", b"F")} | head, body)
+
+
 def _soft_mask(doc: Document, ref: Ref) -> str:
     """A soft mask that hides nothing goes; one of two levels becomes a stencil, in which ones hide."""
     d = doc.resolve(ref).dict

@@ -82,6 +82,19 @@ def test_soft_masks():
     assert "smask" not in stages.compress(write_image(make.photo(100, 100), b"DeviceRGB", soft), "standard")[1].images[0]["action"]
 
 
+def test_masks_follow_their_image():
+    soft = (np.indices((300, 300)).sum(0) % 256).astype(np.uint8)[..., None]
+    for matte in (False, True):
+        doc = make.with_image(make.photo(300, 300), content=b"q 0 0 36 72 re W n 72 0 0 72 0 0 cm /Im Do Q")
+        mask = make.image(doc, soft, b"DeviceGray", **({"Matte": [0, 0, 0]} if matte else {}))
+        next(x for x in doc.objects.values() if isinstance(x, Stream) and x.dict.get(b"Subtype") == b"Image").dict[b"SMask"] = mask
+        out, report, _ = stages.compress(write(doc, False), "standard")
+        done = read(out)
+        image = next(x for x in done.objects.values() if isinstance(x, Stream) and b"SMask" in x.dict)
+        sizes = [(x.dict[b"Width"], x.dict[b"Height"]) for x in (image, done.resolve(image.dict[b"SMask"]))]
+        assert sizes == ([(300, 300)] * 2 if matte else [(75, 150)] * 2), (matte, report.images)
+
+
 def test_decode_arrays():
     doc = make.with_image(make.photo(20, 10, 1), space=b"DeviceGray", Decode=[1, 0])
     stream = next(x for x in doc.objects.values() if isinstance(x, Stream) and x.dict.get(b"Subtype") == b"Image")
