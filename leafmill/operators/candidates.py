@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def smallest(df: DataFrame, keys: list[str], size: str, rank: str, carry: list[str]) -> DataFrame:
-    """For each key the candidate of least size; of equal ones that of least rank. One shuffle, reduced before it."""
-    best = F.min(F.struct(size, rank, *carry)).alias("best")
-    return df.groupBy(*keys).agg(best).select(*keys, "best.*")
+    """For each key the candidate of least size; of equal ones that of least rank; one without a size only if no other has one. One shuffle, reduced before it."""
+    best = F.min(F.struct(F.col(size).isNull().alias("none"), size, rank, *carry)).alias("best")
+    return df.groupBy(*keys).agg(best).select(*keys, "best.*").drop("none")
 
 
 def never_grow(df: DataFrame, size: Column, limit: Column) -> Column:
