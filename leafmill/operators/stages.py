@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from leafmill.functions.ccitt import encode as encode_fax
 from leafmill.functions.glyphs import character
 from leafmill.functions.mappings import Space, mapped
 from leafmill.functions.text import STANDARD_ENCODINGS, standard_font_of
@@ -456,12 +457,17 @@ def predicted(r: Raster) -> bytes:
 
 
 def encode_image(r: Raster) -> tuple[bytes, dict]:
-    """Flate with or without prediction, whichever is smaller (of equal ones without)."""
+    """The smallest of flate without and with prediction and, for two levels, fax coding (of equal ones the first)."""
     plain, better = zlib.compress(r.packed(), 9), zlib.compress(predicted(r), 9)
     out = {b"Filter": Name(b"FlateDecode"), b"BitsPerComponent": 1 if r.kind == "bitonal" else 8, b"Width": r.size[0], b"Height": r.size[1]}
     if len(better) < len(plain):
         out[b"DecodeParms"] = {b"Predictor": 15, b"Colors": r.data.shape[2], b"BitsPerComponent": out[b"BitsPerComponent"], b"Columns": r.size[0]}
-        return better, out
+        plain = better
+    if r.kind == "bitonal":
+        fax = encode_fax(r.data[:, :, 0] == 0)
+        if len(fax) < len(plain):
+            out |= {b"Filter": Name(b"CCITTFaxDecode"), b"DecodeParms": {b"K": -1, b"Columns": r.size[0], b"Rows": r.size[1]}}
+            return fax, out
     return plain, out
 
 

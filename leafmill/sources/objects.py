@@ -215,11 +215,25 @@ def unfilter(data: bytes, filters: list[bytes], parms: list[dict | None]) -> byt
                 out += data[i + 1 : i + 2 + n] if n < 128 else data[i + 1 : i + 2] * (257 - n)
                 i += n + 2 if n < 128 else 2
             data = bytes(out)
+        elif name in (b"CCITTFaxDecode", b"CCF") and (parm or {}).get(b"K", 0) < 0:
+            data = _unfax(data, parm or {})
         else:
             raise FormatError(f"filter {name.decode('latin-1')}")
     return data
 
 
+def _unfax(data: bytes, parm: dict) -> bytes:
+    import numpy as np
+
+    from leafmill.functions.ccitt import decode
+
+    try:
+        black = decode(data, parm.get(b"Columns", 1728), parm.get(b"Rows", 0), parm.get(b"EncodedByteAlign") is True)
+    except (ValueError, IndexError) as e:
+        raise FormatError(f"fax: {e}") from None
+    return np.packbits(black if parm.get(b"BlackIs1") is True else ~black, axis=1).tobytes()
+
+
 def _inflate(data: bytes) -> bytes:
     d = zlib.decompressobj()
     try:

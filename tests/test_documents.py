@@ -164,7 +164,7 @@ def test_prediction_and_flate_round_trip():
         assert back.kind == r.kind and (back.data == r.data).all()
         forced = stages.zlib.compress(stages.predicted(r), 9)
         parms = {b"Predictor": 15, b"Colors": r.data.shape[2], b"BitsPerComponent": head[b"BitsPerComponent"], b"Columns": r.size[0]}
-        again = stages.decode_image(doc, Stream(head | {b"ColorSpace": Name(space), b"DecodeParms": parms}, forced))
+        again = stages.decode_image(doc, Stream(head | {b"ColorSpace": Name(space), b"Filter": Name(b"FlateDecode"), b"DecodeParms": parms}, forced))
         assert (again.data == r.data).all()
 
 
