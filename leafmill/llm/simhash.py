@@ -125,7 +125,7 @@ def hex16(fp: Column) -> Column:
 
 def band_width(texts: int) -> int:
     """Bits of a band: 32, and one more for each doubling beyond 2^20 texts, so that chance meetings stay as rare."""
-    return min(64, 32 + max(0, (texts - 1).bit_length() - 20))
+    return min(64 - BAND_BITS, 32 + max(0, (texts - 1).bit_length() - 20))
 
 
 def banded(text: str | None, words: int, width: int) -> tuple[bytes, list[int]]:
@@ -177,9 +177,9 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
 
     prints = written(arrow_map(texts, run, "node long, fp binary, variants array<long>"), "bands")
     emitted = prints.select("node", F.posexplode("variants").alias("at", "variant"))
-    # the band in the highest bits, under it a hash of band and variant: one number to shuffle
+    # the band in the highest bits and the variant in the lowest: one number to shuffle, whose zeros pack well
     band = F.floor(F.col("at") / variants).cast("long")
-    emitted = emitted.select("node", F.shiftleft(band, 64 - BAND_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(band, "variant"), BAND_BITS)).alias("variant"))
+    emitted = emitted.select("node", F.shiftleft(band, 64 - BAND_BITS).bitwiseOR(F.col("variant")).alias("variant"))
     order = Window.partitionBy("variant").orderBy("node")
     met = emitted.select("node", F.shiftrightunsigned("variant", 64 - BAND_BITS).alias("band"), F.lag("node").over(order).alias("before"), F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first")).filter("before is not null")
     near = met.groupBy("node", "band").agg(F.min("first").alias("first"), F.max("before").alias("before"))
