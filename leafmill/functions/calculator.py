@@ -101,9 +101,9 @@ OPERATORS = frozenset([*NUMERIC, *BINARY, *COMPARE, *LOGIC, *MOVES, "not", "true
 
 @dataclass
 class Value:
-    """A column on the stack, whether it is a truth value, and its number if that is known."""
+    """A column on the stack (none for a count of Machine), whether it is a truth value, and its number if that is known."""
 
-    column: Column
+    column: Column | None
     truth: bool = False
     number: float | None = None
 
@@ -304,7 +304,7 @@ class Machine:
             elif word in MOVES:
                 if word in ("copy", "index", "roll"):
                     counts = 2 if word == "roll" else 1
-                    stack[-counts:] = [Value(F_NONE, number=float(v)) for v in stack[-counts:]]
+                    stack[-counts:] = [Value(None, number=float(v)) for v in stack[-counts:]]
                 _move(word, stack)
             elif word in ("true", "false"):
                 stack.append(word == "true")
@@ -338,5 +338,3 @@ class Machine:
             return math.degrees(math.atan2(a, b)) % 360
         return {"add": a + b, "sub": a - b, "mul": a * b}[word] if word != "exp" else float(a**b)
 
-
-F_NONE = None
