@@ -177,11 +177,11 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
 
     prints = written(arrow_map(texts, run, "node long, fp binary, variants array<long>"), "bands")
     emitted = prints.select("node", F.posexplode("variants").alias("at", "variant"))
-    # the band in the highest bits and the variant in the lowest: one number to shuffle, whose zeros pack well
+    # the band above the variant: one number to shuffle, whose zeros lie together and pack well
     band = F.floor(F.col("at") / variants).cast("long")
-    emitted = emitted.select("node", F.shiftleft(band, 64 - BAND_BITS).bitwiseOR(F.col("variant")).alias("variant"))
+    emitted = emitted.select("node", F.shiftleft(band, width).bitwiseOR(F.col("variant")).alias("variant"))
     order = Window.partitionBy("variant").orderBy("node")
-    met = emitted.select("node", F.shiftrightunsigned("variant", 64 - BAND_BITS).alias("band"), F.lag("node").over(order).alias("before"), F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first")).filter("before is not null")
+    met = emitted.select("node", F.shiftrightunsigned("variant", width).alias("band"), F.lag("node").over(order).alias("before"), F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first")).filter("before is not null")
     near = met.groupBy("node", "band").agg(F.min("first").alias("first"), F.max("before").alias("before"))
     pairs = near.select(F.explode(F.array("before", "first")).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
     fp = lambda x: prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
