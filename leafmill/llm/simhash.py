@@ -26,12 +26,15 @@ BANDS bands of 32 bits and each band is a ball of its own: its variants flip
 any of the UNSURE bits whose sums are nearest to the threshold, which are the
 bits that edits turn over. Two documents meet if in one band their differing
 bits are among those; a pair of similarity 0.8 meets in some band 9 times in
-10, one of 0.9 practically always (groups need one such link a member). Of all
-smaller ids a document meets in a band it is tried against the smallest and,
-among the next smaller in each of its variants' groups, the nearest: 16 pairs
-a document at most, however large its group. A pair is tried by all bits of
-the fingerprint first, then exactly, by its shingles. Bands are wider beyond a
-million texts, so that chance meetings stay rare.
+10, one of 0.9 practically always (groups need one such link a member). All
+documents that meet are tried, unless links that are found already join them:
+first each against the smallest it meets in a band and the nearest smaller,
+then against the one before it in another order, which joins large groups of
+copies at little cost; then all pairs that meet and aren't joined yet. So the
+cost grows with the square of the number of documents that meet without being
+similar. A pair is tried by all bits of the fingerprint first, then exactly, by
+its shingles. Bands are wider beyond a million texts, so that chance meetings
+stay rare.
 """
 
 from __future__ import annotations
@@ -155,6 +158,54 @@ def jaccard(a: str | None, b: str | None, words: int) -> float:
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+def mixed(met: DataFrame, root: DataFrame) -> DataFrame:
+    """variant, node, label, main: rows of the groups whose members are in unlike components; label is the component, main the group's commonest."""
+    label = root.select("node", F.col("root").alias("label"))
+    met = written(met.join(label, "node", "left").select("variant", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    parts = met.groupBy("variant", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("variant").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    main = written(main.filter("labels > 1").drop("labels"), "main")
+    return written(met.join(main, "variant"), "mixed")
+
+
+def neighbours(met: DataFrame, root: DataFrame) -> DataFrame:
+    """a, b: for each member of a group the one before it by a hash, if in another component; no more pairs than rows."""
+    order = Window.partitionBy("variant").orderBy(F.xxhash64("node"), "node")
+    rows = mixed(met, root).select("node", "label", F.lag("node").over(order).alias("other"), F.lag("label").over(order).alias("theirs"))
+    return rows.filter("label <> theirs").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def unlike(met: DataFrame, root: DataFrame) -> DataFrame:
+    """a, b: all pairs that meet and are in unlike components."""
+    rows = mixed(met, root)
+    odd = rows.filter("label <> main").select("variant", F.col("node").alias("x"), F.col("label").alias("label_x"))
+    every = rows.select("variant", F.col("node").alias("y"), F.col("label").alias("label_y"), "main")
+    both = odd.join(every, "variant").filter("label_x <> label_y and (label_y = main or x < y)")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar, by all bits of the bands first, then exactly, by their shingles."""
+    fp = lambda x: prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
+    pairs = pairs.join(fp("a"), "a").join(fp("b"), "b")
+    apart = sum((F.bit_count(F.conv(F.hex(F.substring("fp_a", 1 + 7 * k, 7)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("fp_b", 1 + 7 * k, 7)), 16, 10).cast("long"))) for k in range(-(-BANDS * 8 // 7))), F.lit(0))
+    # a pair at the similarity sought differs in share p of the bits; half as many again leaves room for chance
+    overlap = 2 * similarity / (1 + similarity)
+    far = int(1.5 * BANDS * 64 * float(np.arccos(overlap)) / np.pi)
+    pairs = written(pairs.filter(apart <= far).select("a", "b"), "pairs")
+    body = lambda x: rows.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b")
+
+    def verify(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ok = [jaccard(x, y, words) >= similarity for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["a", "b"])
+
+    return arrow_map(both, verify, "a long, b long")
+
+
 def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, and group_id, the smallest doc_id of its group, of every row of df with an id."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
@@ -180,28 +231,19 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     # the band above the variant: one number to shuffle, whose zeros lie together and pack well
     band = F.floor(F.col("at") / variants).cast("long")
     emitted = emitted.select("node", F.shiftleft(band, width).bitwiseOR(F.col("variant")).alias("variant"))
+    # rows that meet no other go; the next smaller and the smallest of those that meet
     order = Window.partitionBy("variant").orderBy("node")
-    met = emitted.select("node", F.shiftrightunsigned("variant", width).alias("band"), F.lag("node").over(order).alias("before"), F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first")).filter("before is not null")
-    near = met.groupBy("node", "band").agg(F.min("first").alias("first"), F.max("before").alias("before"))
+    before, after = F.lag("node").over(order), F.lead("node").over(order)
+    first = F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    met = emitted.select("variant", "node", before.alias("before"), after.alias("after"), first.alias("first"))
+    met = written(met.filter("before is not null or after is not null").drop("after"), "met")
+    near = met.filter("before is not null").groupBy("node", F.shiftrightunsigned("variant", width).alias("band")).agg(F.min("first").alias("first"), F.max("before").alias("before"))
     pairs = near.select(F.explode(F.array("before", "first")).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
-    fp = lambda x: prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
-    pairs = pairs.join(fp("a"), "a").join(fp("b"), "b")
-    apart = sum((F.bit_count(F.conv(F.hex(F.substring("fp_a", 1 + 7 * k, 7)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("fp_b", 1 + 7 * k, 7)), 16, 10).cast("long"))) for k in range(-(-BANDS * 8 // 7))), F.lit(0))
-    # a pair at the similarity sought differs in share p of the bits; half as many again leaves room for chance
-    overlap = 2 * similarity / (1 + similarity)
-    far = int(1.5 * BANDS * 64 * float(np.arccos(overlap)) / np.pi)
-    pairs = written(pairs.filter(apart <= far).select("a", "b"), "pairs")
-    body = lambda x: rows.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b")
-
-    def verify(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ok = [jaccard(x, y, words) >= similarity for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["a", "b"])
-
-    root = roots(arrow_map(both, verify, "a long, b long")).withColumnRenamed("node", "member")
+    links = written(verified(pairs, prints, rows, words, similarity), "links")
+    met = met.select("variant", "node")
+    for choose in (neighbours, unlike):
+        links = written(links.union(verified(choose(met, roots(links)), prints, rows, words, similarity)), "links")
+    root = roots(links).withColumnRenamed("node", "member")
     grouped = members.join(root, F.col("node") == F.col("member"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     grouped = written(grouped, "groups")
     least = written(grouped.groupBy("root").agg(F.min("doc_id").alias("group_id")), "least")

@@ -81,6 +81,28 @@ def test_near_groups_against_brute_force(spark):
     assert sum(got[d] != want[d] for d in want) <= 0.02 * len(want)
 
 
+def test_near_copies_among_pages_of_one_template(spark):
+    rng = random.Random(6)
+    page = [f"t{i}" for i in range(200)]
+
+    def changed(words, n, tag):
+        out = list(words)
+        at = rng.randrange(len(out) - n)
+        out[at : at + n] = [f"{tag}_{i}" for i in range(n)]
+        return " ".join(out)
+
+    data = []
+    for f in range(60):
+        own = changed(page, 20, f"f{f}").split()  # families are some 0.65 alike, their members 0.9
+        data += [(f, c, changed(own, 3, f"f{f}c{c}")) for c in range(4)]
+    rng.shuffle(data)
+    rows = [(i, text) for i, (_, _, text) in enumerate(data)]
+    got = {r.doc_id: r.group_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = brute.near_groups(rows)
+    assert len(set(want.values())) > 10
+    assert sum(got[d] != want[d] for d in want) <= 2, (len(set(got.values())), len(set(want.values())))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.components(simhash.fingerprints(df)).count() == 0
