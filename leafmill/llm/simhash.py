@@ -20,7 +20,7 @@ not read. An empty table gives no rows. Texts of any length are taken BLOCK
 shingles at a time.
 
 near_groups() finds groups whose shingle sets have a Jaccard similarity of at
-least `similarity` (five words, 0.8). Such pairs differ in some ten of 64
+least `similarity` (five words, 0.8), each shingle counted once. Such pairs differ in some ten of 64
 bits, more than one ball of small radius reaches, so the fingerprint has
 BANDS bands of 32 bits and each band is a ball of its own: its variants flip
 any of the UNSURE bits whose sums are nearest to the threshold, which are the
@@ -133,13 +133,16 @@ def band_width(texts: int) -> int:
 
 def banded(text: str | None, words: int, width: int) -> tuple[bytes, list[int]]:
     """All bits of the bands, and for each band the variants (of width bits)."""
-    counts, n = np.zeros(BANDS * 64, np.int64), 0
-    for h in shingle_hashes(joined_words(text, lower=True), words):
+    counts = np.zeros(BANDS * 64, np.int64)
+    # each shingle once, as in jaccard()
+    distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(joined_words(text, lower=True), words)]))
+    n = len(distinct)
+    for at in range(0, n, BLOCK):
+        h = distinct[at : at + BLOCK]
         for b in range(BANDS):
             x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (b + 1) & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
             x ^= x >> np.uint64(32)
             counts[64 * b : 64 * b + 64] += bit_counts(x * np.uint64(0xD6E8FEB86659FD93))
-        n += len(h)
     margin = counts * 2 - n
     out = []
     for b in range(BANDS):

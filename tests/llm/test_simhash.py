@@ -103,6 +103,15 @@ def test_near_copies_among_pages_of_one_template(spark):
     assert sum(got[d] != want[d] for d in want) <= 2, (len(set(got.values())), len(set(want.values())))
 
 
+def test_repeated_lines_count_once():
+    rng = random.Random(8)
+    for _ in range(20):
+        body, line = ([f"{c}{rng.getrandbits(40)}" for _ in range(n)] for c, n in (("b", 200), ("l", 20)))
+        few, many = (" ".join(body + line * k) for k in (2, 8))
+        assert simhash.jaccard(few, many, 5) == 1
+        assert simhash.banded(few, 5, 32) == simhash.banded(many, 5, 32)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.components(simhash.fingerprints(df)).count() == 0
