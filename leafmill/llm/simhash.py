@@ -33,8 +33,9 @@ then against the one before it in another order, which joins large groups of
 copies at little cost; then all pairs that meet and aren't joined yet. So the
 cost grows with the square of the number of documents that meet without being
 similar. A pair is tried by all bits of the fingerprint first, then exactly, by
-its shingles. Bands are wider beyond a million texts, so that chance meetings
-stay rare.
+its shingles. The width is the same for any number of texts, and so is the
+chance to meet; chance meetings grow with the square of the number: six
+million texts make some 34 million pairs, tried by bits.
 """
 
 from __future__ import annotations
@@ -51,8 +52,7 @@ from .common import arrow_map, joined_words, word_bounds, written
 from .components import roots
 
 BLOCK, ROWS = 1 << 15, 512
-BANDS, UNSURE = 8, 5
-BAND_BITS = (BANDS - 1).bit_length()
+BANDS, WIDTH, UNSURE = 8, 32, 5
 
 
 def shingle_hashes(joined: bytes, words: int, seed: int = 42):
@@ -126,13 +126,8 @@ def hex16(fp: Column) -> Column:
 # ---- groups by similarity
 
 
-def band_width(texts: int) -> int:
-    """Bits of a band: 32, and one more for each doubling beyond 2^20 texts, so that chance meetings stay as rare."""
-    return min(64 - BAND_BITS, 32 + max(0, (texts - 1).bit_length() - 20))
-
-
-def banded(text: str | None, words: int, width: int) -> tuple[bytes, list[int]]:
-    """All bits of the bands, and for each band the variants (of width bits)."""
+def banded(text: str | None, words: int) -> tuple[bytes, list[int]]:
+    """All bits of the bands, and for each band the variants (of WIDTH bits)."""
     counts = np.zeros(BANDS * 64, np.int64)
     # each shingle once, as in jaccard()
     distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(joined_words(text, lower=True), words)]))
@@ -146,8 +141,8 @@ def banded(text: str | None, words: int, width: int) -> tuple[bytes, list[int]]:
     margin = counts * 2 - n
     out = []
     for b in range(BANDS):
-        m = margin[64 * b : 64 * b + width]
-        value = int(np.packbits(np.pad(m > 0, (0, 64 - width)), bitorder="little").view("<u8")[0])
+        m = margin[64 * b : 64 * b + WIDTH]
+        value = int(np.packbits(np.pad(m > 0, (0, 64 - WIDTH)), bitorder="little").view("<u8")[0])
         flips = [1 << int(k) for k in np.argsort(np.abs(m), kind="stable")[:UNSURE]]
         out += [value ^ sum(c) for r in range(UNSURE + 1) for c in itertools.combinations(flips, r)]
     return np.packbits(margin > 0, bitorder="little").tobytes(), out
@@ -217,15 +212,14 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     nodes = sums.groupBy("h", "m").agg(F.min("doc_id").alias("node"))
     members = written(sums.join(written(nodes, "nodes"), ["h", "m"]).select("doc_id", "node"), "members")
     heads = members.filter("doc_id = node").select("node").distinct()
-    count = heads.count()
-    width, variants = band_width(count), 1 << UNSURE
+    variants = 1 << UNSURE
     texts = rows.join(heads, rows.doc_id == heads.node, "left_semi")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                made = [banded(t, words, width) for t in part.column(1).to_pylist()]
+                made = [banded(t, words) for t in part.column(1).to_pylist()]
                 keys = pa.array([np.array(v, np.uint64).view(np.int64) for _, v in made], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f for f, _ in made], pa.binary()), keys], names=["node", "fp", "variants"])
 
@@ -233,14 +227,14 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     emitted = prints.select("node", F.posexplode("variants").alias("at", "variant"))
     # the band above the variant: one number to shuffle, whose zeros lie together and pack well
     band = F.floor(F.col("at") / variants).cast("long")
-    emitted = emitted.select("node", F.shiftleft(band, width).bitwiseOR(F.col("variant")).alias("variant"))
+    emitted = emitted.select("node", F.shiftleft(band, WIDTH).bitwiseOR(F.col("variant")).alias("variant"))
     # rows that meet no other go; the next smaller and the smallest of those that meet
     order = Window.partitionBy("variant").orderBy("node")
     before, after = F.lag("node").over(order), F.lead("node").over(order)
     first = F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0))
     met = emitted.select("variant", "node", before.alias("before"), after.alias("after"), first.alias("first"))
     met = written(met.filter("before is not null or after is not null").drop("after"), "met")
-    near = met.filter("before is not null").groupBy("node", F.shiftrightunsigned("variant", width).alias("band")).agg(F.min("first").alias("first"), F.max("before").alias("before"))
+    near = met.filter("before is not null").groupBy("node", F.shiftrightunsigned("variant", WIDTH).alias("band")).agg(F.min("first").alias("first"), F.max("before").alias("before"))
     pairs = near.select(F.explode(F.array("before", "first")).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
     links = written(verified(pairs, prints, rows, words, similarity), "links")
     met = met.select("variant", "node")
