@@ -1,16 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items (cut into segments of at most SEGMENT words) give word n-grams. A
-first pass counts in how many documents each of them occurs; each segment
-keeps as seeds the rarer half of its n-grams, and SEEDS at least, so a segment
-keeps seeds even if a third of the corpus holds it. A second pass joins every
-document's n-grams to the seeds; each hit opens a window of the document
-around the place where the segment would lie, overlapping windows are merged,
-and the segment is aligned with the window, word by word: MATCH for a like
-word, MISS for an unlike one, GAP for one left out or put in. A document is
-contaminated by an item if an alignment reaches SHARE of the segment's best
-possible score, or the score of RUN like words in a row. Edited, shortened and
-paraphrased copies so far as that are found, wherever they lie.
+first pass counts in how many documents each of them occurs; those that occur
+in none can't be found and go. All others are seeds, as any choice among them
+loses copies of the part of a passage that is not chosen. A second pass joins
+every document's n-grams to the seeds; each hit opens a window of the document
+around the place where the segment would lie, and overlapping windows are
+merged. A window whose words, each taken as like if the segment has it, can't
+reach the score goes; with any other the segment is aligned, word by word:
+MATCH for a like word, MISS for an unlike one, GAP for one left out or put in.
+A document is contaminated by an item if an alignment reaches SHARE of the
+segment's best possible score, or the score of RUN like words in a row. Edited,
+shortened and paraphrased copies so far as that are found, wherever they lie,
+if GRAM words in a row are unchanged.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII; A-Z count
 as a-z. The join is done task by task against the segments, which are
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_map
 
-GRAM, SEGMENT, SEEDS, SHORTEST, SLICE, ROWS = 3, 64, 8, 6, 1_000_000, 512
+GRAM, SEGMENT, SHORTEST, SLICE, ROWS = 3, 64, 6, 1_000_000, 512
 MATCH, MISS, GAP, SHARE, RUN = 2, -1, -1, 0.5, 13
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -90,12 +92,12 @@ class Segments:
         return among[at] == keys
 
     def choose(self, seen: dict[int, int]) -> None:
-        """Seeds: for each segment the rarer half of its n-grams, SEEDS at least; seen: documents by n-gram."""
+        """Seeds: all n-grams of the segments that occur; seen: documents by n-gram."""
         for s, ids in enumerate(self.ids):
             keys, where = self.keys(ids)
-            order = sorted(range(len(keys)), key=lambda i: (seen.get(int(keys[i]), 0), int(keys[i]), i))
-            for i in order[: max(SEEDS, len(order) // 2)]:
-                self.seeds.setdefault(int(keys[i]), []).append((s, int(where[i])))
+            for key, at in zip(keys.tolist(), where.tolist(), strict=True):
+                if seen.get(key, 0):
+                    self.seeds.setdefault(key, []).append((s, at))
         self.seed_keys = np.array(sorted(self.seeds), np.int64)
 
     def windows(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
@@ -119,17 +121,26 @@ class Segments:
         ids = self.document(text)
         out = []
         for s, spans in sorted(self.windows(ids).items()):
-            best = None
+            best, own = None, self.ids[s]
+            least = min(RUN * MATCH, SHARE * MATCH * len(own))
             for lo, hi in spans:
-                score, end = align(self.ids[s], ids[lo:hi])
-                if score >= min(RUN * MATCH, SHARE * MATCH * len(self.ids[s])) and (best is None or score > best[0]):
-                    start = lo + end - align(self.ids[s][::-1], ids[lo : lo + end][::-1])[1]
+                if most(own, ids[lo:hi]) < least:
+                    continue
+                score, end = align(own, ids[lo:hi])
+                if score >= least and (best is None or score > best[0]):
+                    start = lo + end - align(own[::-1], ids[lo : lo + end][::-1])[1]
                     best = (score, start, lo + end)
             if best:
                 out.append({"item_id": self.items[s], "score": best[0] / (MATCH * len(self.ids[s])), "start": best[1], "end": best[2]})
         return out
 
 
+def most(a: np.ndarray, b: np.ndarray) -> int:
+    """No local alignment of a with b scores more: the best stretch of b, where a word that a has counts MATCH and any other costs the least it can."""
+    total = np.cumsum(np.concatenate(([0], np.where(np.isin(b, a), MATCH, max(MISS, GAP)))))
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Best local alignment score of a with b, and the end of its earliest place in b."""
     n = len(b)

@@ -74,6 +74,24 @@ def test_a_passage_in_a_third_of_all_documents_keeps_its_seeds(spark):
     assert {r.doc_id for r in got if r.leaks} == {i for i in range(300) if i % 3 == 0}
 
 
+def test_no_alignment_scores_more_than_the_bound():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        a, b = rng.integers(1, 9, rng.integers(1, 20)), rng.integers(0, 12, rng.integers(1, 30))
+        assert dc.align(a, b)[0] <= dc.most(a, b)
+
+
+def test_parts_that_are_the_commoner_half(spark):
+    items = [(i, " ".join(f"p{i}x{k}" for k in range(40))) for i in range(20)]
+    rows = []
+    for i, text in items:
+        words = text.split()
+        rows += [(100 * i + c, " ".join(["some", "words", *part, "and", "more"])) for c, part in enumerate((words[9:22], words[20:], *[words[:20]] * 9))]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in dc.find_leaks(df, bench, ["doc_id"]).collect()}
+    assert got == {d: [d // 100] for d, _ in rows}
+
+
 def test_benchmark_in_slices(spark, monkeypatch):
     docs, items, want = corpus()
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
