@@ -57,12 +57,19 @@ def test_counts_as_the_library(frame, texts):
     assert got == want
 
 
-def test_counts_with_a_small_table_of_pre_tokens(texts, monkeypatch):
-    monkeypatch.setattr(token_counts, "CACHE", 20)
+@pytest.mark.parametrize("limits", [token_counts.Limits(rows=7, words=20, sums=50, batch=3), token_counts.Limits(chars=100, sums=1)])
+def test_counts_in_small_blocks(frame, texts, limits):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    own = token_counts.PieceCounter(MODEL)
-    some = texts[:300]
-    assert [own.counts([t])[0] for t in some] == [len(model.encode(t, num_threads=1)) for t in some]
+    some = [(i, t) for i, t in enumerate(texts[:200] + texts[-4:])]
+    df = frame.sparkSession.createDataFrame(some, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, MODEL, limits=limits).collect()}
+    assert got == {i: len(model.encode(t or "", num_threads=1)) for i, t in some}
+
+
+def test_each_pre_token_is_counted_once(spark):
+    df = spark.createDataFrame([(i, f"the same words {i % 3}\nagain") for i in range(60)], "doc_id long, text string").repartition(4)
+    words = [r.word for r in token_counts.distinct_words(df, MODEL).collect()]
+    assert sorted(words) == sorted({"▁the", "▁same", "▁words", "▁0", "▁1", "▁2", "\n", "again"})
 
 
 def test_empty_table(spark):
