@@ -1,13 +1,15 @@
 import hashlib
 import random
+from functools import reduce
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import brute
 from leafmill.llm import passages
-from leafmill.llm.common import joined_words, word_bounds
+from leafmill.llm.common import joined_words
 
 
 def rows():
@@ -37,16 +39,48 @@ def test_against_brute_force(spark):
     assert run(df, 3) == want
 
 
-def test_index_of_many_batches_is_compacted(spark):
+def test_hot_anchors_are_spread(spark):
+    data = rows()
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    got = passages.dedup(df, 4, hot=3).withColumn("h", F.sha2("kept", 256)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.h) for r in got), key=str) == sorted(brute.passages(data), key=str)
+
+
+def test_runs_are_compacted(spark):
     data = [(i, t) for i, (_, t) in enumerate(rows()[:120])]
-    index = passages.FingerprintIndex(spark)
+    index, found = passages.FingerprintIndex(spark), []
     for k in range(6):
-        index.add(spark.createDataFrame([r for r in data if r[0] // 20 == k], "doc_id long, text string"))
-        index.compact()
-        assert len(index.segments) <= passages.FAN_IN
+        found.append(index.add(spark.createDataFrame([r for r in data if r[0] // 20 == k], "doc_id long, text string")))
+        assert len(index.runs) <= passages.FAN_IN
+    kept = spark.table(index.runs[0])
+    assert kept.count() == kept.select("print").distinct().count()
     df = spark.createDataFrame(data, "doc_id long, text string")
-    got = passages.without_repeats(df, index.repeats(df)).withColumn("h", F.sha2("kept", 256)).collect()
+    spans = passages.spans(reduce(DataFrame.union, found))
+    got = passages.without_repeats(df, passages.with_digests(spans, df)).withColumn("h", F.sha2("kept", 256)).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.h) for r in got) == sorted(brute.passages(data))
+    index.drop()
+
+
+def test_runs_are_not_shuffled(spark):
+    index = passages.FingerprintIndex(spark)
+    index.add(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows()[:50])], "doc_id long, text string"))
+    probes = spark.range(100).select(F.col("id").alias("spread"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark.table(index.runs[0]).join(probes, "spread", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1
+    index.drop()
+
+
+def test_matches_whose_words_differ_are_left_out(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, words), (2, words), (3, words.replace("w30", "x"))], "doc_id long, text string")
+    marks = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    claimed = spark.createDataFrame([(d, marks[d], 0, 11, 1, marks[1], 0) for d in (2, 3)], passages._MATCH)
+    got = passages.without_repeats(df, passages.with_digests(passages.spans(claimed), df)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 60, 3: 0}
 
 
 def test_empty(spark):
@@ -59,21 +93,13 @@ def test_empty(spark):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "c"]), max_size=200), st.integers(1, 60))
 def test_stretches_cover_each_window_once(words, slab):
-    joined = joined_words(" ".join(words))
-    before = passages.SLAB
-    passages.SLAB = slab
-    try:
-        found = passages.stretches(joined)
-    finally:
-        passages.SLAB = before
-    seen = [w for _, _, f, n in found for w in range(f, f + n)]
-    assert seen == list(range(max(0, len(words) - passages.WINDOW + 1)))
-    starts, ends = word_bounds(joined)
+    anchors, _, firsts, counts, prints = passages.stretches(joined_words(" ".join(words)), slab)
+    seen = [(a, w) for a, f, n in zip(anchors, firsts, counts, strict=True) for w in range(f, f + n)]
+    assert [w for _, w in seen] == list(range(max(0, len(words) - passages.WINDOW + 1))) and len(prints) == len(seen)
     whole = {}
-    for anchor, _, first, n in found:
-        for w, h in zip(range(first, first + n), passages.window_prints(joined, first, n, starts, ends), strict=True):
-            key = tuple(words[w : w + passages.WINDOW])
-            assert whole.setdefault(key, (anchor, h)) == (anchor, h)  # equal windows, equal anchors
+    for (anchor, w), h in zip(seen, prints, strict=True):
+        key = tuple(words[w : w + passages.WINDOW])
+        assert whole.setdefault(key, (anchor, h)) == (anchor, h)  # equal windows, equal anchors
 
 
 def test_kept_words_are_the_text(spark):
