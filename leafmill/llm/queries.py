@@ -117,4 +117,22 @@ WITH q AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_kd_top_k": TOP_K_SQL, "op6_line_dedup": LINE_DEDUP_SQL}
+SUBSTRING_SQL = f"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), words AS (
+  SELECT r, doc_id, u.p, w[u.p] AS word, CASE WHEN u.p + {passages.WINDOW - 1} <= len(w) AND doc_id IS NOT NULL THEN md5(array_to_string(w[u.p:u.p + {passages.WINDOW - 1}], ' ')) END AS k
+  FROM split, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p) u
+), least AS (SELECT k, min(doc_id) AS owner FROM words WHERE k IS NOT NULL GROUP BY k),
+starts AS (
+  SELECT words.*, coalesce(least.owner < words.doc_id, false) AS again FROM words LEFT JOIN least ON least.k = words.k
+), marked AS (
+  SELECT r, p, word, max(again::INTEGER) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN {passages.WINDOW - 1} PRECEDING AND CURRENT ROW) = 1 AS gone FROM starts
+), kept AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS text FROM marked GROUP BY r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept ON kept.r = split.r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_kd_top_k": TOP_K_SQL, "op6_line_dedup": LINE_DEDUP_SQL, "op7_substring_dedup": SUBSTRING_SQL}
