@@ -15,11 +15,14 @@ train a logistic classifier of spans over kind, votes, length and digits. The
 classifier is applied as a column expression: candidates it accepts that touch
 no base span are added; base spans always stay.
 
-Positions are code points, end exclusive. They come from the pieces between
-matches, by sums over blocks, so a text with very many matches stays linear
-but for a factor of BLOCK. Patterns use possessive loops and start only where
-a run starts or the last match ended, which keeps the leftmost matches and
-takes linear time on long runs.
+Positions are code points, end exclusive. They come from the lengths of the
+pieces between matches, by sums over blocks of BLOCK and blocks of those; words
+before a span and characters around it come from the pieces too, so the text
+itself isn't searched again for each span. Whether a wider candidate touches a
+base span is found by halving. So a text with very many matches takes time in
+proportion to them, but for a factor of about BLOCK. Patterns use possessive
+loops and start only where a run starts or the last match ended, which keeps
+the leftmost matches and takes linear time on long runs.
 
 A null text counts as empty: no spans. Repeated rows give repeated rows; a
 null doc_id is a key like any other; extra columns are not read; with no
@@ -37,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-BLOCK = 256
-#: Characters before a span that the context labeler reads.
+BLOCK = 64
+#: Characters before a span that the context labeler reads, back to the match before it at most.
 CONTEXT = 40
 
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "[A-Za-z0-9-]++"
@@ -71,37 +74,72 @@ WORDS_FOR = (
 WORDS_AGAINST = "version|isbn|issn|order|invoice|ticket|serial|token|sha|md5|uuid|build|release"
 
 
+def _let(x: Column, f) -> Column:
+    """f(x), where x is worked out once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _scan(values: Column, zero: Column, op) -> Column:
+    """For each entry of an array the entries before it, put together by op."""
+    fold = lambda x: F.aggregate(x, zero, op)
+    upto = lambda v: F.sequence(F.lit(0), F.size(v) - 1)
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    sums = lambda v: F.transform(F.sequence(F.lit(0), block(F.size(v) - 1)), lambda b: fold(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+    inside = lambda v, i: fold(F.slice(v, block(i) * BLOCK + 1, i % BLOCK))
+
+    def of(v):
+        def by_block(s):
+            starts = _let(sums(s), lambda s2: F.transform(upto(s), lambda b: op(fold(F.slice(s2, F.lit(1), block(b))), inside(s, b))))
+            return _let(starts, lambda o: F.transform(upto(v), lambda i: op(F.element_at(o, block(i) + 1), inside(v, i))))
+
+        return F.when(F.size(v) > 0, _let(sums(v), by_block)).otherwise(F.array().cast("array<int>"))
+
+    return _let(values, of)
+
+
+def _below(sorted_values: Column, limit: Column) -> Column:
+    """How many entries of a sorted array are below limit."""
+    n = F.size(sorted_values)
+    step = lambda at, k: F.when((at + k <= n) & (F.get(sorted_values, at + k - 1) < limit), at + k).otherwise(at)
+    return F.aggregate(F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int")), F.lit(0), step)
+
+
+_MATCH = "array<struct<start:int,m:string,before:string,left:string,right:string>>"
+
+
 def _matches(df: DataFrame, patterns, at: str) -> DataFrame:
-    """df with arrays {at}0, {at}1, ... of structs (start, end, m), one for each pattern, over __text."""
+    """df with arrays {at}0, {at}1, ... of structs (start, m, before, left, right), one for each pattern, over __text."""
     text = F.col("__text")
     names = [f"{at}{k}" for k in range(len(patterns))]
     none = F.array().cast("array<string>")
     has = {f"__has_{n}": text.contains(need) if need == "@" else text.rlike(need) for n, (need, _) in zip(names, patterns, strict=True)}
     df = df.withColumns(has)
     df = df.withColumns({f"__m_{n}": F.when(F.col(f"__has_{n}"), F.regexp_extract_all("__text", F.lit(p), F.lit(0))).otherwise(none) for n, (_, p) in zip(names, patterns, strict=True)})
-    df = df.withColumns({f"__p_{n}": F.when(F.size(f"__m_{n}") > 0, F.transform(F.split("__text", p, -1), F.char_length)).otherwise(F.array().cast("array<int>")) for n, (_, p) in zip(names, patterns, strict=True)})
-    some = lambda n, x: F.when(F.size(f"__m_{n}") > 0, x)
-    last = lambda n: F.floor((F.size(f"__m_{n}") - 1) / BLOCK).cast("int")
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
-    lengths = lambda n: F.transform(f"__m_{n}", lambda m, i: F.char_length(m) + F.element_at(f"__p_{n}", i + 1))
-    df = df.withColumns({f"__l_{n}": some(n, lengths(n)) for n in names})
+    df = df.withColumns({f"__p_{n}": F.when(F.size(f"__m_{n}") > 0, F.split("__text", p, -1)).otherwise(none) for n, (_, p) in zip(names, patterns, strict=True)})
 
     def spans(n):
-        def block(b):
-            def rows(offset):
-                def one(m, i):
-                    before = offset + total(F.slice(f"__l_{n}", b * BLOCK + 1, i)) + F.element_at(f"__p_{n}", b * BLOCK + i + 1)
-                    return F.struct(before.alias("start"), m.alias("m"))
+        def of(both):
+            m, p = both["m"], both["p"]
+            lengths = F.transform(m, lambda x, i: F.char_length(F.get(p, i)) + F.char_length(x))
+            # the character of the piece, or of the match that lies right beside
+            beside = lambda piece, end, other: F.when(F.length(piece) > 0, end(piece)).otherwise(F.coalesce(end(other), F.lit(" ")))
+            last, first = (lambda x: F.right(x, F.lit(1))), (lambda x: F.left(x, F.lit(1)))
 
-                return F.transform(F.slice(f"__m_{n}", b * BLOCK + 1, F.lit(BLOCK)), one)
+            def one(x, i, before):
+                piece = F.get(p, i)
+                return F.struct(
+                    (F.get(before, i) + F.char_length(piece)).alias("start"),
+                    x.alias("m"),
+                    F.lower(F.right(piece, F.lit(CONTEXT))).alias("before"),
+                    beside(piece, last, F.when(i > 0, F.get(m, i - 1))).alias("left"),
+                    beside(F.get(p, i + 1), first, F.get(m, i + 1)).alias("right"),
+                )
 
-            # an array of one, so that the offset is summed once for a block
-            return F.flatten(F.transform(F.array(total(F.slice(f"__l_{n}", F.lit(1), b * BLOCK))), rows))
+            return _let(_scan(lengths, F.lit(0), lambda a, b: a + b), lambda before: F.transform(m, lambda x, i: one(x, i, before)))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), last(n)), block))
+        return F.when(F.size(f"__m_{n}") > 0, _let(F.struct(F.col(f"__m_{n}").alias("m"), F.col(f"__p_{n}").alias("p")), of)).otherwise(F.array().cast(_MATCH))
 
-    df = df.withColumns({n: F.coalesce(some(n, spans(n)), F.array().cast("array<struct<start:int,m:string>>")) for n in names})
-    return df.drop(*[f"__{c}_{n}" for c in ("has", "m", "p", "l") for n in names])
+    return df.withColumns({n: spans(n) for n in names}).drop(*[f"__{c}_{n}" for c in ("has", "m", "p") for n in names])
 
 
 def _digits(m: Column) -> Column:
@@ -149,13 +187,10 @@ def _gazetteer(kind: int, m: Column) -> Column:
     return F.when(m.rlike(rf"^\+(?:{CALLING_CODES})"), 1).when(m.startswith("+"), -1).otherwise(0)
 
 
-def _candidates(text: Column, spans: Column, kind: int, base: bool) -> Column:
+def _candidates(spans: Column, kind: int, base: bool) -> Column:
     def one(s):
-        m, start = s["m"], s["start"]
+        m, start, before, left, right = s["m"], s["start"], s["before"], s["left"], s["right"]
         end = start + F.char_length(m)
-        before = F.lower(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))))
-        left = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise(F.lit(" "))
-        right = F.substring(text, end + 1, F.lit(1))
         n = F.length(_digits(m))
         return F.struct(
             start.alias("start"),
@@ -182,10 +217,18 @@ def candidates(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "
     """keys and cands, an array of structs: every base span, and every wider candidate that touches none."""
     rows = df.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     rows = _matches(_matches(rows, BASE, "__base"), WIDE, "__wide")
-    flat = lambda at, base: F.flatten(F.array(*[_candidates(F.col("__text"), F.col(f"{at}{k}"), k, base) for k in range(4)]))
+    flat = lambda at, base: F.flatten(F.array(*[_candidates(F.col(f"{at}{k}"), k, base) for k in range(4)]))
     rows = rows.withColumn("__b", flat("__base", True)).withColumn("__w", flat("__wide", False))
-    free = F.filter("__w", lambda w: ~F.exists("__b", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return rows.select(*keys, F.concat("__b", free).alias("cands"))
+
+    def free(base):
+        """The wider candidates that touch none of the base spans: those that start before its end all end by its start."""
+        ends = F.concat(F.transform(base, lambda b: b["end"]), F.array(F.lit(0)))
+        far = _scan(ends, F.lit(0), lambda a, b: F.greatest(a, b))
+        bounds = F.struct(F.transform(base, lambda b: b["start"]).alias("starts"), far.alias("far"))
+        return _let(bounds, lambda x: F.filter("__w", lambda w: F.get(x["far"], _below(x["starts"], w["end"])) <= w["start"]))
+
+    kept = F.when((F.size("__w") > 0) & (F.size("__b") > 0), _let(F.array_sort(F.transform("__b", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))), free)).otherwise(F.col("__w"))
+    return rows.select(*keys, F.concat("__b", kept).alias("cands"))
 
 
 def estimate(patterns: list[tuple], rounds: int = 60) -> tuple[list[float], list]:
