@@ -5,8 +5,8 @@ and openings of 4 to 6 letters), the densest WINDOW words, hits near second-
 person words, shares of capitals, of punctuation and its repeats, of words
 with letters swapped for digits or signs or spaced out, lengths.
 
-Learning takes a bounded sample: the SAMPLE labelled rows with the least hash
-of their id. The learnt lexicon is the TERMS terms with the largest likelihood
+Learning takes a bounded sample: the SAMPLE labelled ids with the least hash,
+one row each (rows that share an id count once, by the least of their texts). The learnt lexicon is the TERMS terms with the largest likelihood
 ratio between toxic and other texts of the sample; trees are grown on features
 from a lexicon of the sample's other half, so that a term's weight is never
 tried on the rows it came from; calibration uses scores from trees of other
@@ -260,8 +260,8 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", te
     known = known.groupBy("id").agg((F.avg("t") > 0.5).cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     known = written(known.withColumn("fold", F.pmod(F.hash("id"), F.lit(6)).cast("int")), "labels")
     texts = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    # at most SAMPLE rows of 16 bytes
-    sample = written(texts.join(F.broadcast(known), "id"), "sample")
+    # at most SAMPLE rows of 16 bytes; of rows that share an id one, the one with the least text
+    sample = written(texts.join(F.broadcast(known), "id").groupBy("id", "toxic", "fold").agg(F.min("text").alias("text")), "sample")
     found = {(r.toxic, r.half): r.n for r in sample.groupBy("toxic", (F.col("fold") % 2).alias("half")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = [found.get((t, 0), 0) + found.get((t, 1), 0) for t in (0, 1)]
     if not all(total):
