@@ -77,12 +77,30 @@ def test_the_same_rows_give_the_same_places(spark):
 
 
 def test_rewrite(spark, tmp_path):
-    df = frame(spark, 200).filter("doc_id is not null and doc_id <> 5")
+    df = frame(spark, 200)
     at = placed(df, 3)
     reshard.rewrite(df, at, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
-    changed = {r.shard for r in reshard.affected(at).collect()}
-    assert back.count() == at.filter(F.col("shard").isin(list(changed))).count()
+    changed = [r.shard for r in reshard.affected(at).collect()]
+    want = at.filter(F.col("shard").isin(changed))
+    assert back.count() == want.count()
+    count = lambda x: sorted((str(r.doc_id), r.shard, r.slot) for r in x.collect())
+    assert count(back) == count(want)
+    held = {(str(r.doc_id), r.text) for r in df.collect()}
+    assert all((str(r.doc_id), r.text) in held for r in back.collect())
+
+
+def test_repeated_rows_are_dealt_to_many_blocks(spark):
+    df = spark.createDataFrame([(None, "same", "s")], "doc_id long, text string, source string").select("*", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("col")
+    rows = placed(df, 5)
+    got = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert [r.n for r in got] == [4000] * 5 and all(r.slots == r.n == r.last + 1 for r in got)
+
+
+def test_very_long_texts_at_the_cuts(spark):
+    rows = [(i, "x" * (900_000 if i % 40 == 0 else 20 + i * 97 % 5000), "s", "x") for i in range(400)]
+    sizes = [r.n for r in placed(spark.createDataFrame(rows, "doc_id long, text string, source string, shard string")).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) < 2_000_000
 
 
 def test_empty(spark):
