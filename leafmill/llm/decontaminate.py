@@ -1,6 +1,8 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items (cut into segments of at most SEGMENT words) give word n-grams. A
+Test items give word n-grams. Items of more than SEGMENT words are cut into
+segments that share RUN - 1 words with the next, so that RUN copied words lie
+in one of them wherever they are. A
 first pass counts in how many documents each of them occurs; those that occur
 in none can't be found and go. All others are seeds, as any choice among them
 loses copies of the part of a passage that is not chosen. A second pass joins
@@ -50,17 +52,10 @@ def words_of(text: str | None) -> list[bytes]:
 class Segments:
     """Segments of test items, their vocabulary and n-grams; small enough to broadcast."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items: list[int] = []
-        self.words: list[list[bytes]] = []
-        for item, text in items:
-            words = words_of(text)
-            if len(words) < SHORTEST:
-                continue
-            parts = -(-len(words) // SEGMENT)
-            for p in range(parts):
-                self.items.append(item)
-                self.words.append(words[len(words) * p // parts : len(words) * (p + 1) // parts])
+    def __init__(self, parts: list[tuple[int, list[bytes]]]):
+        """parts: item and words of each segment."""
+        self.items = [item for item, _ in parts]
+        self.words = [words for _, words in parts]
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
         self.ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in self.words]
         per = [self.keys(x) for x in self.ids]
@@ -70,8 +65,6 @@ class Segments:
     def keys(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the n-grams without a foreign word, and where they start."""
         size = len(self.vocabulary) + 1
-        if size**GRAM >= 2**63:
-            raise ValueError("too many words in one slice of the benchmark")
         at = np.ones(max(0, len(ids) - GRAM + 1), bool)
         key = np.zeros(len(at), np.int64)
         for g in range(GRAM):
@@ -161,14 +154,33 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def segments_of(text: str | None) -> list[list[bytes]]:
+    """The words of an item, in segments; none if it is shorter than SHORTEST."""
+    words = words_of(text)
+    if len(words) < SHORTEST:
+        return []
+    parts = max(1, -(-(len(words) - RUN + 1) // (SEGMENT - RUN + 1)))
+    step = (len(words) - RUN + 1) / parts
+    return [words[int(step * p) : len(words) if p + 1 == parts else int(step * (p + 1)) + RUN - 1] for p in range(parts)]
+
+
 def _slices(benchmark: DataFrame, item: str, text: str):
-    """Segments of at most about SLICE words each, read a slice at a time."""
+    """Segments of at most SLICE words each, read about a slice at a time."""
     rows = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("text")).filter("item is not null and text is not null")
-    total = rows.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first().n or 0
-    slices = -(-total // SLICE)
+    # two characters a word at least, so that no more than SLICE words are read but for one longer item
+    total = rows.agg(F.sum(F.char_length("text")).alias("n")).first().n or 0
+    slices = -(-total // (2 * SLICE))
     for k in range(slices):
         part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
-        yield Segments(sorted((r.item, r.text) for r in part.collect()))
+        held, size = [], 0
+        for item_id, words in ((r.item, ws) for r in sorted(part.collect()) for ws in segments_of(r.text)):
+            if held and size + len(words) > SLICE:
+                yield Segments(held)
+                held, size = [], 0
+            held.append((item_id, words))
+            size += len(words)
+        if held:
+            yield Segments(held)
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, keys: list[str] | None = None, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -180,8 +192,6 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, keys: list[str] | None = Non
     names = rows.columns
     body = names.index("__text" if own else text)
     for segments in _slices(benchmark, item, item_text):
-        if not segments.items:
-            continue
         rough = spark.sparkContext.broadcast(segments)
 
         def count(batches, rough=rough):

@@ -92,6 +92,24 @@ def test_parts_that_are_the_commoner_half(spark):
     assert got == {d: [d // 100] for d, _ in rows}
 
 
+def test_runs_lie_in_one_segment():
+    for n in [*range(dc.SHORTEST, 400), 1000]:
+        parts = dc.segments_of(" ".join(f"w{i}" for i in range(n)))
+        assert all(len(p) <= dc.SEGMENT for p in parts)
+        held = {tuple(p[i : i + dc.RUN]) for p in parts for i in range(len(p) - dc.RUN + 1)}
+        assert all(tuple(f"w{i}".encode() for i in range(at, at + dc.RUN)) in held for at in range(n - dc.RUN + 1))
+    assert dc.segments_of(None) == dc.segments_of("too short") == []
+
+
+def test_an_item_of_very_many_words(spark, monkeypatch):
+    monkeypatch.setattr(dc, "SLICE", 1000)
+    item = " ".join(f"w{i}" for i in range(5000))
+    parts = list(dc._slices(spark.createDataFrame([(1, item), (2, "a b c d e f g")], "item_id long, text string"), "item_id", "text"))
+    assert len(parts) > 5 and all(sum(map(len, p.words)) <= 1000 for p in parts)
+    df = spark.createDataFrame([(1, "x y " + " ".join(item.split()[3000:3013]) + " z"), (1, "x y"), (1, "x y")], "doc_id long, text string")
+    assert sorted(len(r.leaks) for r in dc.find_leaks(df, spark.createDataFrame([(1, " ".join(item.split()[2900:3100]))], "item_id long, text string")).collect()) == [0, 0, 1]
+
+
 def test_benchmark_in_slices(spark, monkeypatch):
     docs, items, want = corpus()
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
