@@ -30,9 +30,14 @@ bits are among those; a pair of similarity 0.8 meets in some band 9 times in
 documents that meet are tried, unless links that are found already join them:
 first each against the smallest it meets in a band and the nearest smaller,
 then against the one before it in another order, which joins large groups of
-copies at little cost; then all pairs that meet and aren't joined yet. So the
-cost grows with the square of the number of documents that meet without being
-similar. A pair is tried by all bits of the fingerprint first, then exactly, by
+copies at little cost; then the rest: where no more than ODD documents of a
+group aren't in its largest component, each of those against the group, so that
+there are at most ODD pairs a row; where there are more (pages made from one
+template), documents of unlike components that share a rare shingle. With the
+shingles of those groups in the order of their frequency, two sets that are
+similar share one of the first (1 - similarity) of either, so none is lost,
+and what all pages of a template share comes last and pairs nothing. A pair is
+tried by all bits of the fingerprint first, then exactly, by
 its shingles. The width is the same for any number of texts, and so is the
 chance to meet; chance meetings grow with the square of the number: six
 million texts make some 34 million pairs, tried by bits.
@@ -53,6 +58,8 @@ from .components import roots
 
 BLOCK, ROWS = 1 << 15, 512
 BANDS, WIDTH, UNSURE = 8, 32, 5
+#: Members outside the largest component up to which a group's pairs are tried one by one.
+ODD = 64
 
 
 def shingle_hashes(joined: bytes, words: int, seed: int = 42):
@@ -157,31 +164,55 @@ def jaccard(a: str | None, b: str | None, words: int) -> float:
 
 
 def mixed(met: DataFrame, root: DataFrame) -> DataFrame:
-    """variant, node, label, main: rows of the groups whose members are in unlike components; label is the component, main the group's commonest."""
+    """variant, node, label, main, odd: rows of the groups whose members are in unlike components.
+
+    label is the component, main the group's commonest, odd the number of members that aren't in main.
+    """
     label = root.select("node", F.col("root").alias("label"))
     met = written(met.join(label, "node", "left").select("variant", "node", F.coalesce("label", "node").alias("label")), "labelled")
     parts = met.groupBy("variant", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("variant").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    main = written(main.filter("labels > 1").drop("labels"), "main")
+    main = parts.groupBy("variant").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("odd"))
+    main = written(main.filter("odd > 0"), "main")
     return written(met.join(main, "variant"), "mixed")
 
 
-def neighbours(met: DataFrame, root: DataFrame) -> DataFrame:
+def neighbours(rows: DataFrame) -> DataFrame:
     """a, b: for each member of a group the one before it by a hash, if in another component; no more pairs than rows."""
     order = Window.partitionBy("variant").orderBy(F.xxhash64("node"), "node")
-    rows = mixed(met, root).select("node", "label", F.lag("node").over(order).alias("other"), F.lag("label").over(order).alias("theirs"))
+    rows = rows.select("node", "label", F.lag("node").over(order).alias("other"), F.lag("label").over(order).alias("theirs"))
     return rows.filter("label <> theirs").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def unlike(met: DataFrame, root: DataFrame) -> DataFrame:
-    """a, b: all pairs that meet and are in unlike components."""
-    rows = mixed(met, root)
+def unlike(rows: DataFrame, most: int) -> DataFrame:
+    """a, b: all pairs in unlike components of the groups with at most `most` odd members; no more than so many a row."""
+    rows = rows.filter(F.col("odd") <= most)
     odd = rows.filter("label <> main").select("variant", F.col("node").alias("x"), F.col("label").alias("label_x"))
     every = rows.select("variant", F.col("node").alias("y"), F.col("label").alias("label_y"), "main")
     both = odd.join(every, "variant").filter("label_x <> label_y and (label_y = main or x < y)")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def sharing(rows: DataFrame, texts: DataFrame, words: int, similarity: float, most: int) -> DataFrame:
+    """a, b: documents of groups with more than `most` odd members, in unlike components, that share one of their rarest shingles."""
+    held = rows.filter(F.col("odd") > most).select("node", "label").distinct()
+    bodies = texts.join(written(held, "open"), texts.doc_id == F.col("node")).select("node", "label", "text").dropDuplicates(["node"])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(joined_words(t, lower=True), words)])).view(np.int64) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "label", "hashes"])
+
+    each = written(arrow_map(bodies, run, "node long, label long, hashes array<long>"), "shingles").select("node", "label", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    often = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), (F.min("label") != F.max("label")).alias("shared")), "often")
+    ranked = each.join(often, "h").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))
+    rare = written(ranked.filter(F.col("shared") & (F.col("rank") <= F.floor(F.col("n") * (1 - similarity) + 1e-6) + 1)).select("h", "node", "label"), "rare")
+    x, y = (rare.toDF("h", c, f"label_{c}") for c in ("x", "y"))
+    both = x.join(y, "h").filter("label_x < label_y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) that are similar, by all bits of the bands first, then exactly, by their shingles."""
     fp = lambda x: prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
@@ -204,7 +235,7 @@ def verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, words: int, s
     return arrow_map(both, verify, "a long, b long")
 
 
-def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", most: int = ODD) -> DataFrame:
     """doc_id, and group_id, the smallest doc_id of its group, of every row of df with an id."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
     # rows of one text are one node, the smallest id of the text
@@ -238,8 +269,12 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     pairs = near.select(F.explode(F.array("before", "first")).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
     links = written(verified(pairs, prints, rows, words, similarity), "links")
     met = met.select("variant", "node")
-    for choose in (neighbours, unlike):
-        links = written(links.union(verified(choose(met, roots(links)), prints, rows, words, similarity)), "links")
+    steps = ((0, neighbours), (0, lambda m: unlike(m, most)), (most, lambda m: sharing(m, rows, words, similarity, most)))
+    for more_than, choose in steps:
+        still = mixed(met, roots(links))
+        if still.filter(F.col("odd") > more_than).isEmpty():
+            break
+        links = written(links.union(verified(choose(still), prints, rows, words, similarity)), "links")
     root = roots(links).withColumnRenamed("node", "member")
     grouped = members.join(root, F.col("node") == F.col("member"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     grouped = written(grouped, "groups")

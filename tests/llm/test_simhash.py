@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import brute
@@ -81,7 +82,8 @@ def test_near_groups_against_brute_force(spark):
     assert sum(got[d] != want[d] for d in want) <= 0.02 * len(want)
 
 
-def test_near_copies_among_pages_of_one_template(spark):
+@pytest.mark.parametrize("most", [simhash.ODD, 0])
+def test_near_copies_among_pages_of_one_template(spark, most):
     rng = random.Random(6)
     page = [f"t{i}" for i in range(200)]
 
@@ -97,7 +99,7 @@ def test_near_copies_among_pages_of_one_template(spark):
         data += [(f, c, changed(own, 3, f"f{f}c{c}")) for c in range(4)]
     rng.shuffle(data)
     rows = [(i, text) for i, (_, _, text) in enumerate(data)]
-    got = {r.doc_id: r.group_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    got = {r.doc_id: r.group_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), most=most).collect()}
     want = brute.near_groups(rows)
     assert len(set(want.values())) > 10
     assert sum(got[d] != want[d] for d in want) <= 2, (len(set(got.values())), len(set(want.values())))
