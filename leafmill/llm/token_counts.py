@@ -14,7 +14,7 @@ The texts are read twice. The first time gives the distinct pre-tokens, each
 of which is tokenized once and written with its number of pieces. The second
 time gives frequencies: rows are taken in blocks of at most Limits.rows
 (and Limits.chars characters, but for one longer text), and a block has one row
-for each of its pre-tokens, with the texts that hold it and how often. Those
+for each of its pre-tokens, with the texts that hold it, as often as they do. Those
 are joined to the pieces; the products are summed by text within a task first,
 then by block. So a frequent pre-token has one row a block, not one a text,
 and Spark splits the partition of one that is in every block. A block is known
@@ -45,15 +45,14 @@ from .common import arrow_map, written
 class Limits(NamedTuple):
     """What a task holds at once: rows and characters of a block, distinct pre-tokens, products, rows of a batch."""
 
-    rows: int = 8192
-    chars: int = 8_000_000
-    words: int = 200_000
+    rows: int = 8192  # below 2^14
+    chars: int = 32_000_000
+    words: int = 500_000
     sums: int = 2_000_000
     batch: int = 20_000
 
 
 MARK = "▁"  # how the model writes a space
-_POSTING = np.dtype([("row", "<u2"), ("times", "<u4")])
 _SUM = np.dtype([("row", "<u2"), ("tokens", "<i8")])
 
 
@@ -95,6 +94,31 @@ def counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
+def packed(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps between numbers below 2^14 as one or two bytes each, and where each starts; first marks those that follow no other."""
+    steps = np.where(first, rows, rows - np.concatenate(([0], rows[:-1])))
+    high = steps >> 7
+    starts = np.cumsum(1 + (high > 0)) - 1 - (high > 0)
+    out = np.zeros(len(steps) + int((high > 0).sum()), np.uint8)
+    out[starts] = (steps & 127) | ((high > 0) << 7)
+    out[starts[high > 0] + 1] = high[high > 0]
+    return out, starts
+
+
+def unpacked(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of packed() lists that lie one after the other up to ends, and how many each list has."""
+    last = data < 128
+    at = np.flatnonzero(last)
+    long = np.zeros(len(at), bool)
+    long[at > 0] = ~last[at[at > 0] - 1]
+    steps = data[at].astype(np.int64)
+    steps[long] = steps[long] << 7 | data[at[long] - 1] & 127
+    counts = np.diff(np.concatenate(([0], np.searchsorted(at, ends))))
+    sums = np.cumsum(steps)
+    before = np.concatenate(([0], sums))[np.cumsum(counts) - counts]
+    return sums - np.repeat(before, counts), counts
+
+
 class Codes(dict):
     """Numbers of the pre-tokens met so far; plain: of those whose first mark is left out."""
 
@@ -151,7 +175,7 @@ def counted(words: DataFrame, path: str) -> DataFrame:
 
 
 def frequencies(rows: DataFrame, path: str, limits: Limits = Limits()) -> DataFrame:
-    """word, block, postings (texts of the block and how often each holds the word), head.
+    """word, block, postings (texts of the block that hold the word, as often as they do, packed), head.
 
     rows: any columns, the text last. A block also has one row with the other columns of its
     texts in head, whose word, a line feed and the block's number, is no pre-token.
@@ -171,18 +195,19 @@ def frequencies(rows: DataFrame, path: str, limits: Limits = Limits()) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([f"\n{number}"]), pa.array([number], pa.int64()), pa.array([None], pa.binary()), lists], names=names)
             if not parts:
                 return
-            keys, times = np.unique(np.concatenate(parts), return_counts=True)
-            postings = np.empty(len(keys), _POSTING)
-            postings["row"], postings["times"] = keys & 0xFFFF, times
+            keys = np.sort(np.concatenate(parts))
             code = keys >> 16
-            starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-            ends = np.append(starts[1:], len(code))
+            first = np.concatenate(([True], code[1:] != code[:-1]))
+            data, places = packed(keys & 0xFFFF, first)
+            starts = np.flatnonzero(first)
+            bounds = np.append(places[starts], len(data))
             for at in range(0, len(starts), limits.batch):
-                a, z = starts[at : at + limits.batch], ends[at : at + limits.batch]
-                offsets = ((np.append(a, z[-1]) - a[0]) * _POSTING.itemsize).astype(np.int32)
-                data = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(postings[a[0] : z[-1]].tobytes())])
+                a = starts[at : at + limits.batch]
+                offsets = bounds[at : at + len(a) + 1]
+                buffers = [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32).tobytes()), pa.py_buffer(data[offsets[0] : offsets[-1]].tobytes())]
+                postings = pa.Array.from_buffers(pa.binary(), len(a), buffers)
                 words = pa.array([codes.words[c] for c in code[a].tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(a), number)), data, pa.nulls(len(a), lists.type)], names=names)
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(a), number)), postings, pa.nulls(len(a), lists.type)], names=names)
 
         for batch in batches:
             first = 0
@@ -241,10 +266,10 @@ def summed(joined: DataFrame, limits: Limits = Limits()) -> DataFrame:
             blocks = np.concatenate((blocks, new))
             by = np.argsort(blocks, kind="stable")
             place = by[np.searchsorted(blocks, distinct, sorter=by)][inverse]
-            counts = np.array(pa.compute.binary_length(rest.column(1)).to_numpy(zero_copy_only=False), np.int64) // _POSTING.itemsize
-            postings = np.frombuffer(b"".join(rest.column(1).to_pylist()), _POSTING)
-            products = postings["times"].astype(np.int64) * np.repeat(rest.column(3).to_numpy(zero_copy_only=False).astype(np.int64), counts)
-            held.append((np.repeat(place, counts) << 16 | postings["row"], products))
+            ends = np.cumsum(pa.compute.binary_length(rest.column(1)).to_numpy(zero_copy_only=False))
+            texts, counts = unpacked(np.frombuffer(b"".join(rest.column(1).to_pylist()), np.uint8), ends)
+            products = np.repeat(rest.column(3).to_numpy(zero_copy_only=False).astype(np.int64), counts)
+            held.append((np.repeat(place, counts) << 16 | texts, products))
             size += len(products)
             if size > limits.sums:
                 yield from sums()

@@ -17,7 +17,7 @@ PARTS = [" ", "  ", "\n", "\r\n", "\t", "a", "b", "ing", "▁", "\x00", "é", "
 def texts():
     rng = random.Random(7)
     out = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(0, 14))) for _ in range(1500)]
-    return [*out, None, "", " ".join(map(str, range(40_000))), "z" * 30_000]
+    return [*out, None, "", " ".join(map(str, range(40_000))), "z" * 30_000, "same " * 255 + "other " * 256 + "third " * 1000]
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +66,17 @@ def test_counts_in_small_blocks(frame, texts, limits):
     assert got == {i: len(model.encode(t or "", num_threads=1)) for i, t in some}
 
 
+def test_packed_postings():
+    rng = np.random.default_rng(2)
+    lists = [np.sort(rng.integers(0, 1 << 14, rng.integers(1, 40) if k % 5 else 1)) for k in range(500)]
+    rows = np.concatenate(lists)
+    first = np.zeros(len(rows), bool)
+    first[np.cumsum([0, *map(len, lists[:-1])])] = True
+    data, starts = token_counts.packed(rows, first)
+    back, counts = token_counts.unpacked(data, np.append(starts[first][1:], len(data)))
+    assert back.tolist() == rows.tolist() and counts.tolist() == [len(x) for x in lists]
+
+
 def test_each_pre_token_is_counted_once(spark):
     df = spark.createDataFrame([(i, f"the same words {i % 3}\nagain") for i in range(60)], "doc_id long, text string").repartition(4)
     words = [r.word for r in token_counts.distinct_words(df, MODEL).collect()]
