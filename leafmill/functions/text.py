@@ -118,16 +118,22 @@ def standard_font_of(name: str) -> str | None:
     return f"{family}-{style}" if style else "Times-Roman" if family == "Times" else family
 
 
+# What to look for, in this order, and the category.
+PROBLEM_KINDS = (("does not parse", "parse"), ("page count", "page_count"), ("content stream", "content_stream"), ("(ImageDecode)", "image"))
+
+
 def problem_category(problem: Column) -> Column:
     """The first kind of problem whose words the text has."""
-    # What to look for, in this order, and the category.
-    kinds = (("does not parse", "parse"), ("page count", "page_count"), ("content stream", "content_stream"), ("(ImageDecode)", "image"))
     out = F.lit("stream")
-    for words, kind in reversed(kinds):
+    for words, kind in reversed(PROBLEM_KINDS):
         out = F.when(problem.contains(words), kind).otherwise(out)
     return out
 
 
+def category_of(problem: str) -> str:
+    return next((kind for words, kind in PROBLEM_KINDS if words in problem), "stream")
+
+
 def non_ascii_hex(h: Column) -> Column:
     """Whether hex digits hold a byte outside 0x20 to 0x7e."""
     return h.rlike(r"^(?:..)*(?:[01][0-9A-F]|7F|[89A-F][0-9A-F])")

@@ -10,14 +10,16 @@ from __future__ import annotations
 import re
 import time
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from leafmill.functions.ccitt import encode as encode_fax
+from leafmill.functions.color import OVERPRINTS
 from leafmill.functions.glyphs import character
 from leafmill.functions.mappings import Space, mapped
-from leafmill.functions.text import STANDARD_ENCODINGS, standard_font_of
+from leafmill.functions.text import STANDARD_ENCODINGS, category_of, standard_font_of
 from leafmill.functions.type1 import to_compact
 from leafmill.operators.presets import PRESETS, STRIP_RULES, TINY, WRAPPER
 from leafmill.sources.objects import Document, FormatError, Name, Parser, Ref, Stream, Text, canonical, content_of, operations, read, references, smaller
@@ -178,12 +180,12 @@ def box_of(doc: Document, x) -> tuple | None:
 class Usage:
     """Where images are drawn, which strings fonts show, which resource names each owner uses."""
 
-    def __init__(self, doc: Document):
+    def __init__(self, doc: Document, walk: bool = True):
         self.doc = doc
         self.placements: dict[Ref, list[tuple]] = {}
         self.strings: dict[Ref, set[bytes]] = {}
         self.busy: list[Ref] = []
-        for page in pages_of(doc):
+        for page in pages_of(doc) if walk else ():
             chain = [r for r in [self._inherited(page, b"Resources")] if isinstance(r, dict)]
             boxes = [b for b in (box_of(doc, doc.get(page, k)) for k in (b"MediaBox", b"CropBox")) if b]
             state = State(clip=boxes[0] if len(boxes) == 1 else meet(*boxes) if boxes else State.clip)
@@ -456,19 +458,30 @@ def predicted(r: Raster) -> bytes:
     return np.hstack([best[:, None], each[best, np.arange(len(rows))]]).astype(np.uint8).tobytes()
 
 
-def encode_image(r: Raster) -> tuple[bytes, dict]:
-    """The smallest of flate without and with prediction and, for two levels, fax coding (of equal ones the first)."""
-    plain, better = zlib.compress(r.packed(), 9), zlib.compress(predicted(r), 9)
-    out = {b"Filter": Name(b"FlateDecode"), b"BitsPerComponent": 1 if r.kind == "bitonal" else 8, b"Width": r.size[0], b"Height": r.size[1]}
-    if len(better) < len(plain):
-        out[b"DecodeParms"] = {b"Predictor": 15, b"Colors": r.data.shape[2], b"BitsPerComponent": out[b"BitsPerComponent"], b"Columns": r.size[0]}
-        plain = better
-    if r.kind == "bitonal":
-        fax = encode_fax(r.data[:, :, 0] == 0)
-        if len(fax) < len(plain):
-            out |= {b"Filter": Name(b"CCITTFaxDecode"), b"DecodeParms": {b"K": -1, b"Columns": r.size[0], b"Rows": r.size[1]}}
-            return fax, out
-    return plain, out
+def encode_image(r: Raster, codecs: tuple[str, ...] = ("flate", "g4")) -> tuple[bytes, dict] | None:
+    """The smallest of flate without and with prediction and, for two levels, fax coding, as codecs allow (of equal ones the first); None if none does."""
+    head = {b"BitsPerComponent": 1 if r.kind == "bitonal" else 8, b"Width": r.size[0], b"Height": r.size[1]}
+    found = []
+    if "flate" in codecs:
+        flate = head | {b"Filter": Name(b"FlateDecode")}
+        found.append((zlib.compress(r.packed(), 9), flate))
+        found.append((zlib.compress(predicted(r), 9), flate | {b"DecodeParms": {b"Predictor": 15, b"Colors": r.data.shape[2], b"BitsPerComponent": head[b"BitsPerComponent"], b"Columns": r.size[0]}}))
+    if "g4" in codecs and r.kind == "bitonal":
+        found.append((encode_fax(r.data[:, :, 0] == 0), head | {b"Filter": Name(b"CCITTFaxDecode"), b"DecodeParms": {b"K": -1, b"Columns": r.size[0], b"Rows": r.size[1]}}))
+    return min(found, key=lambda x: len(x[0]), default=None)
+
+
+def cmyk_raster_to_rgb(r: Raster) -> Raster:
+    """Each color the mean of the overprints, weighted by the area that each covers."""
+    inks = r.data.astype(float)[..., :, None] / 255
+    areas = np.ones((*r.data.shape[:2], 1))
+    for i in range(4):  # the first ink is the least bit of an overprint's number
+        areas = np.concatenate([areas * (1 - inks[:, :, i]), areas * inks[:, :, i]], axis=2)
+    return Raster("rgb", np.clip(np.floor(areas @ np.array(OVERPRINTS) * 255 + 0.5), 0, 255).astype(np.uint8))
+
+
+def _codecs(preset: dict, kind: str) -> tuple[str, ...]:
+    return tuple(preset[kind if kind in ("bitonal", "indexed") else "continuous"].split(","))
 
 
 def recompress_images(doc: Document, preset: dict, usage: Usage, report: Report) -> None:
@@ -489,8 +502,7 @@ def _image(doc: Document, ref: Ref, stream: Stream, preset: dict, usage: Usage,
     raster = decode_image(doc, stream)
     if isinstance(raster, str):
         return f"kept: {raster}"
-    names = preset[raster.kind if raster.kind in ("bitonal", "indexed") else "continuous"]
-    if not names:
+    if not any(_codecs(preset, raster.kind)):
         return "kept: class excluded"
     d, steps, part = stream.dict, [], None
     mapped_ = isinstance(cs := doc.get(d, b"ColorSpace"), list) and cs[:1] not in ([b"Indexed"], [b"ICCBased"])
@@ -524,7 +536,14 @@ def _image(doc: Document, ref: Ref, stream: Stream, preset: dict, usage: Usage,
         if small:
             raster = small
             steps.append("downsampled")
-    body, head = encode_image(raster)
+    if preset["rgb"] and raster.kind == "cmyk" and not (keyed or profile):
+        raster = cmyk_raster_to_rgb(raster)
+        steps.append("rgb")
+    # what the image has become decides on the codecs
+    made = encode_image(raster, _codecs(preset, raster.kind))
+    if made is None:
+        return "kept: no codec at hand" + soft
+    body, head = made
     if len(body) >= len(stream.data):
         return "kept: not smaller" + soft
     new = {k: v for k, v in d.items() if k not in (b"Decode", b"DecodeParms", b"DP", b"F", b"SMaskInData") or (k == b"Decode" and stencil)} | head
@@ -919,12 +938,24 @@ def verify(data: bytes, pages: int) -> list[str]:
             except FormatError as e:
                 if not str(e).startswith("filter "):
                     out.append(f"object {ref.num}: stream: {e}")
-    return out[:PROBLEMS]
+    return out
+
+
+def regressed(found: list[str], before: list[str]) -> list[tuple[str, int, int]]:
+    """Categories of problems that now are more than before: category, now, before."""
+    now, was = (Counter(category_of(p) for p in x) for x in (found, before))
+    return [(c, n, was[c]) for c, n in now.items() if n > was[c]]
 
 
 # ---- all of it
 
 
+def enabled(p: dict) -> dict[str, bool]:
+    """Which stages a preset runs."""
+    codecs = any(p[k] for k in ("bitonal", "continuous", "indexed"))
+    return {"usage": p["threshold"] >= 0 or p["clip"] or p["subset"], "images": codecs, "fonts": p["subset"] or p["cff"] or p["unembed"], "strip": bool(p["strip"]), "structure": True}
+
+
 def compress(data: bytes, preset: str | dict, check: bool = True) -> tuple[bytes, Report, str | None]:
     """The smaller file by a preset or settings of that shape, what was done, and why it was refused, if it was; a refused or grown file is given back as it was."""
     report, p = Report(), PRESETS[preset] if isinstance(preset, str) else preset
@@ -937,17 +968,26 @@ def compress(data: bytes, preset: str | dict, check: bool = True) -> tuple[bytes
     except Refusal as e:
         return data, report, str(e)
     normalize(doc)
-    usage = Usage(doc)
-    before = len(data)
-    for name, run in (("images", lambda: recompress_images(doc, p, usage, report)), ("fonts", lambda: convert_fonts(doc, p, report)), ("strip", lambda: report.notes.extend([f"entries stripped: {n}"] if (n := strip(doc, p["strip"])) else [])), ("structure", lambda: structure(doc, report))):
-        began = time.perf_counter()
-        run()
-        after = len(smaller(doc)[0])
+    on, before = enabled(p), len(data)
+    usage = Usage(doc, on["usage"])
+    stages = {
+        "images": lambda: recompress_images(doc, p, usage, report),
+        "fonts": lambda: convert_fonts(doc, p, report),
+        "strip": lambda: report.notes.extend([f"entries stripped: {n}"] if (n := strip(doc, p["strip"])) else []),
+        "structure": lambda: structure(doc, report),
+    }
+    for name, run in stages.items():
+        began, after = time.perf_counter(), before
+        if on[name]:
+            run()
+            after = len(smaller(doc)[0])
         report.stages.append({"stage_no": len(report.stages), "name": name, "bytes_before": before, "bytes_after": after, "elapsed_ms": (time.perf_counter() - began) * 1e3})
         before = after
     out, form = smaller(doc, data)
     if form == "kept":
         report.notes.append("output would not be smaller; the input is kept")
-    elif check and (found := verify(out, pages)) and len(found) > len(verify(data, pages)):
-        return data, report, f"rejected: {found[0]}"
+    elif check and (found := verify(out, pages)):
+        if new := regressed(found, verify(data, pages)):
+            return data, report, "rejected: " + ", ".join(f"{c} {n}, was {was}" for c, n, was in new)
+        report.notes += [f"the input has this too: {x}" for x in found[:PROBLEMS]]
     return out, report, None

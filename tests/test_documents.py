@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import probes as make
+from leafmill.functions.color import cmyk_to_rgb
 from leafmill.operators import stages
 from leafmill.operators.presets import PRESETS
 from leafmill.sources import documents
@@ -187,3 +188,35 @@ def test_files(spark, tmp_path):
     found = documents.files(spark, str(tmp_path))
     assert found.count() == 2 and found.filter(documents.is_document(F.col("content"))).count() == 2
     assert "content" not in documents.sizes(spark, str(tmp_path)).columns
+
+
+def test_codecs_are_the_presets_own():
+    actions = {p: {n: stages.compress(PROBES[n], p)[1].images[0]["action"] for n in ("bitonal-lines", "indexed", "gray-rgb-300dpi")} for p in PRESETS}
+    assert actions["less"]["indexed"] == "kept: class excluded"
+    assert all(a == "kept: no codec at hand" for p in ("less", "more") for n, a in actions[p].items() if n == "bitonal-lines")
+    assert "downsampled" in actions["standard"]["bitonal-lines"] and "downsampled" in actions["more"]["indexed"]
+
+
+def test_cmyk_becomes_rgb_where_the_preset_says_so(spark):
+    own = PRESETS["more"] | {"continuous": "flate,source"}
+    out, report, refusal = stages.compress(PROBES["cmyk"], own)
+    assert refusal is None and "rgb" in report.images[0]["action"] and image_of(out).dict[b"ColorSpace"] == b"DeviceRGB"
+    assert "rgb" not in stages.compress(PROBES["cmyk"], own | {"rgb": False})[1].images[0]["action"]
+    rng = np.random.default_rng(1)
+    ink = rng.integers(0, 256, (1, 50, 4)).astype(np.uint8)
+    want = spark.createDataFrame([tuple(map(int, x)) for x in ink[0]], "c int, m int, y int, k int").select(cmyk_to_rgb(*map(F.col, "cmyk")).alias("rgb")).collect()
+    assert stages.cmyk_raster_to_rgb(stages.Raster("cmyk", ink)).data[0].tolist() == [r.rgb for r in want]
+
+
+def test_problems_count_by_category():
+    old = [f"page {i}: content stream: x" for i in range(60)]
+    assert stages.regressed(old, old) == []
+    assert stages.regressed([*old, "page 60: content stream: x"], old) == [("content_stream", 61, 60)]
+    assert stages.regressed(["object 3: stream: x"], old) == [("stream", 1, 0)]
+
+
+def test_stages_that_a_preset_turns_off_are_listed():
+    none = PRESETS["less"] | {"continuous": "", "bitonal": "", "subset": False, "unembed": False, "threshold": -1.0}
+    report = stages.compress(PROBES["gray-rgb-300dpi"], none)[1]
+    assert [s["name"] for s in report.stages] == ["images", "fonts", "strip", "structure"] and report.images == []
+    assert all(s["bytes_before"] == s["bytes_after"] for s in report.stages[:3])
