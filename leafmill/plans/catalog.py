@@ -314,12 +314,13 @@ def delta_code(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT doc_id, unnest(string_split(concat('/', replace(text, ' the ', ' Tf ')), ' ')) AS tok, generate_subscripts(string_split(concat('/', replace(text, ' the ', ' Tf ')), ' '), 1) AS i FROM documents WHERE position(chr(10) IN text) = 0 AND position(chr(9) IN text) = 0),
+WITH w AS (SELECT doc_id, string_split(regexp_replace(concat('/', replace(text, ' the ', ' Tf ')), '[\\t\\n\\f\\r]', ' ', 'g'), ' ') AS toks FROM documents),
+t AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM w),
 n AS (SELECT doc_id, tok, lead(tok, 2) OVER (PARTITION BY doc_id ORDER BY i) AS third FROM t)
 SELECT doc_id, coalesce(string_agg(DISTINCT substr(tok, 2), ',' ORDER BY substr(tok, 2)) FILTER (WHERE third = 'Tf' AND starts_with(tok, '/')), '') AS names FROM n GROUP BY doc_id
 """)
 def triples(spark, sf):
-    df = table(spark, sf, "documents").filter(~F.col("text").contains("\n") & ~F.col("text").contains("\t"))
+    df = table(spark, sf, "documents")
     return df.select("doc_id", F.array_join(ordered.appearance_fonts(F.concat(F.lit("/"), F.replace("text", F.lit(" the "), F.lit(" Tf ")))), ",").alias("names"))
 
 
@@ -552,14 +553,15 @@ def _overprint_sql(channel: int) -> str:
 
 
 @query(f"""
-WITH i AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 256 AS DOUBLE) / 255 AS c, CAST(l_suppkey % 256 AS DOUBLE) / 255 AS m, CAST(l_orderkey % 256 AS DOUBLE) / 255 AS y, CAST(l_linenumber * 30 AS DOUBLE) / 255 AS k FROM lineitem)
+WITH i AS (SELECT l_orderkey, CAST(l_partkey % 256 AS DOUBLE) / 255 AS c, CAST(l_suppkey % 256 AS DOUBLE) / 255 AS m, CAST(l_orderkey % 256 AS DOUBLE) / 255 AS y, CAST(l_linenumber * 30 AS DOUBLE) / 255 AS k, l_linenumber, l_partkey % 256 AS ci, l_suppkey % 256 AS mi, l_orderkey % 256 AS yi FROM lineitem)
 SELECT l_orderkey, l_linenumber, {_overprint_sql(0)} AS r, {_overprint_sql(1)} AS g, {_overprint_sql(2)} AS b,
-  CAST(least(greatest(434.456 - c * 255 - 1.402 * y * 255, 0), 255) AS DECIMAL(9, 4)) >= 0 AS ok, CAST(floor((c * 255 * 299 + m * 255 * 587 + y * 255 * 114 + 1e-6) / 1000) AS INTEGER) AS luma FROM i
+  CAST(floor(least(greatest(434.456 - ci - 1.402 * yi, 0), 255)) AS INTEGER) AS c2, CAST(floor(least(greatest(119.541 - ci + 0.344 * mi + 0.714 * yi, 0), 255)) AS INTEGER) AS m2,
+  CAST(floor(least(greatest(481.816 - ci - 1.772 * mi, 0), 255)) AS INTEGER) AS y2, l_linenumber * 30 AS k2, CAST(floor((c * 255 * 299 + m * 255 * 587 + y * 255 * 114 + 1e-6) / 1000) AS INTEGER) AS luma FROM i
 """)
 def color_kernels(spark, sf):
     c, m, y, k = F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.col("l_orderkey") % 256, F.col("l_linenumber") * 30
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", color.cmyk_to_rgb(c, m, y, k).alias("rgb"), color.ycck_to_cmyk(c, m, y, k).alias("cmyk"), color.luma(c, m, y).alias("luma"))
-    return df.select("l_orderkey", "l_linenumber", *(F.col("rgb")[i].alias(n) for i, n in enumerate("rgb")), F.col("cmyk").isNotNull().alias("ok"), "luma")
+    return df.select("l_orderkey", "l_linenumber", *(F.col("rgb")[i].alias(n) for i, n in enumerate("rgb")), *(F.col("cmyk")[i].alias(f"{n}2") for i, n in enumerate("cmyk")), "luma")
 
 
 @query("""
@@ -573,10 +575,10 @@ def quantifiers(spark, sf):
 
 
 @query("""
-SELECT page_id, upper(hex(encode(substr(html, 1, 40)))) AS digits, regexp_matches(upper(hex(encode(substr(html, 1, 40)))), '^(..)*([01][0-9A-F]|7F|[89A-F][0-9A-F])') AS binary FROM pages
+SELECT page_id, upper(hex(encode(html))) AS digits, regexp_matches(upper(hex(encode(html))), '^(..)*([01][0-9A-F]|7F|[89A-F][0-9A-F])') AS binary FROM pages
 """)
 def hex_strings(spark, sf):
-    digits = F.hex(F.substring("html", 1, 40).cast("binary"))
+    digits = F.hex(F.col("html").cast("binary"))
     return table(spark, sf, "pages").select("page_id", digits.alias("digits"), text.non_ascii_hex(digits).alias("binary"))
 
 

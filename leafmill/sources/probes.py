@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 from leafmill.sources.objects import Document, Name, Ref, Stream, Text, write
@@ -73,3 +75,28 @@ def probes() -> dict[str, bytes]:
     form.objects[Ref(3, 0)][b"Resources"] = {b"XObject": {b"Fm": inner}, b"Font": {b"T": font}}
     out["form"] = form
     return {name: write(doc, False) for name, doc in out.items()}
+
+
+def damaged() -> dict[str, bytes]:
+    """Documents that must be refused, and one that doesn't parse."""
+    out = {"junk": b"not a document"}
+    tree = with_image(photo(60, 50))
+    tree.objects[Ref(2, 0)][b"Kids"].append(Ref(99, 0))
+    out["lost-page"] = write(tree, False)
+    body = page(b"0 0 m")
+    del body.objects[Ref(4, 0)]
+    out["lost-content"] = write(body, False)
+    locked = page(b"0 0 m")
+    locked.add({b"Filter": Name(b"Standard"), b"V": 1, b"R": 2})
+    out["locked"] = write(locked, False).replace(b"/Root", b"/Encrypt 5 0 R/Root", 1)
+    return out
+
+
+def save(folder: str) -> list[str]:
+    """Writes every probe below folder; their names."""
+    os.makedirs(folder, exist_ok=True)
+    made = probes()
+    for name, data in made.items():
+        with open(os.path.join(folder, f"{name}.pdf"), "wb") as f:
+            f.write(data)
+    return sorted(made)

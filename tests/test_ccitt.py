@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-import probes as make
+from leafmill.sources import probes as make
 from leafmill.functions import ccitt
 from leafmill.operators import stages
 from leafmill.sources.objects import Name, Stream, content_of, read, write

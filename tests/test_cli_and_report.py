@@ -2,7 +2,7 @@ from pathlib import Path
 
 import pytest
 
-import probes as make
+from leafmill.sources import probes as make
 from leafmill import cli, report
 from leafmill.operators.presets import PRESETS
 from leafmill.sources.objects import read

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import probes as make
+from leafmill.sources import probes as make
 from leafmill.functions.color import cmyk_to_rgb
 from leafmill.operators import stages
 from leafmill.operators.presets import PRESETS

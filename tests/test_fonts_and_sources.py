@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import probes as make
+from leafmill.sources import probes as make
 from leafmill.functions import fonts
 from leafmill.sources import config
 from leafmill.sources.objects import FormatError, Name, Text

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-import probes as make
+from leafmill.sources import probes as make
 from leafmill.functions.mappings import Function, Space, mapped
 from leafmill.operators import stages
 from leafmill.sources.objects import FormatError, Name, Ref, Stream, read, write

@@ -4,7 +4,7 @@ import struct
 
 import pytest
 
-import probes as make
+from leafmill.sources import probes as make
 from leafmill.functions import fonts, type1
 from leafmill.functions.text import standard_font_of
 from leafmill.operators import stages
