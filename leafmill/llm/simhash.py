@@ -133,8 +133,8 @@ def hex16(fp: Column) -> Column:
 # ---- groups by similarity
 
 
-def banded(text: str | None, words: int) -> tuple[bytes, list[int]]:
-    """All bits of the bands, and for each band the variants (of WIDTH bits)."""
+def banded(text: str | None, words: int) -> tuple[list[int], list[int]]:
+    """All bits of the bands, as signed longs, and for each band the variants (of WIDTH bits)."""
     counts = np.zeros(BANDS * 64, np.int64)
     # each shingle once, as in jaccard()
     distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(joined_words(text, lower=True), words)]))
@@ -152,7 +152,7 @@ def banded(text: str | None, words: int) -> tuple[bytes, list[int]]:
         value = int(np.packbits(np.pad(m > 0, (0, 64 - WIDTH)), bitorder="little").view("<u8")[0])
         flips = [1 << int(k) for k in np.argsort(np.abs(m), kind="stable")[:UNSURE]]
         out += [value ^ sum(c) for r in range(UNSURE + 1) for c in itertools.combinations(flips, r)]
-    return np.packbits(margin > 0, bitorder="little").tobytes(), out
+    return np.packbits(margin > 0, bitorder="little").view("<i8").tolist(), out
 
 
 def jaccard(a: str | None, b: str | None, words: int) -> float:
@@ -183,12 +183,25 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return rows.filter("label <> theirs").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def unlike(rows: DataFrame, most: int) -> DataFrame:
-    """a, b: all pairs in unlike components of the groups with at most `most` odd members; no more than so many a row."""
-    rows = rows.filter(F.col("odd") <= most)
-    odd = rows.filter("label <> main").select("variant", F.col("node").alias("x"), F.col("label").alias("label_x"))
-    every = rows.select("variant", F.col("node").alias("y"), F.col("label").alias("label_y"), "main")
-    both = odd.join(every, "variant").filter("label_x <> label_y and (label_y = main or x < y)")
+def close(a: str, b: str, similarity: float) -> Column:
+    """Whether the bits of the bands in columns a and b may be those of a pair at the similarity sought."""
+    # such a pair differs in share p of the bits; half as many again leaves room for chance
+    overlap = 2 * similarity / (1 + similarity)
+    far = int(1.5 * BANDS * 64 * float(np.arccos(overlap)) / np.pi)
+    apart = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(BANDS)), F.lit(0))
+    return apart <= far
+
+
+def unlike(rows: DataFrame, prints: DataFrame, similarity: float, most: int) -> DataFrame:
+    """a, b: pairs in unlike components of the groups with at most `most` odd members, those that are close().
+
+    Each row of such a group is compared with at most so many. The bits go along with the rows, so that a pair is
+    tried by them where it meets and only close ones are shuffled.
+    """
+    rows = rows.filter(F.col("odd") <= most).join(prints.select("node", "fp"), "node")
+    odd = rows.filter("label <> main").select("variant", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("fp").alias("fp_x"))
+    every = rows.select("variant", F.col("node").alias("y"), F.col("label").alias("label_y"), "main", F.col("fp").alias("fp_y"))
+    both = odd.join(every, "variant").filter("label_x <> label_y and (label_y = main or x < y)").filter(close("fp_x", "fp_y", similarity))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -213,15 +226,15 @@ def sharing(rows: DataFrame, texts: DataFrame, words: int, similarity: float, mo
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar, by all bits of the bands first, then exactly, by their shingles."""
+def near(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are close()."""
     fp = lambda x: prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
-    pairs = pairs.join(fp("a"), "a").join(fp("b"), "b")
-    apart = sum((F.bit_count(F.conv(F.hex(F.substring("fp_a", 1 + 7 * k, 7)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("fp_b", 1 + 7 * k, 7)), 16, 10).cast("long"))) for k in range(-(-BANDS * 8 // 7))), F.lit(0))
-    # a pair at the similarity sought differs in share p of the bits; half as many again leaves room for chance
-    overlap = 2 * similarity / (1 + similarity)
-    far = int(1.5 * BANDS * 64 * float(np.arccos(overlap)) / np.pi)
-    pairs = written(pairs.filter(apart <= far).select("a", "b"), "pairs")
+    return pairs.join(fp("a"), "a").join(fp("b"), "b").filter(close("fp_a", "fp_b", similarity)).select("a", "b")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar, by their shingles."""
+    pairs = written(pairs, "pairs")
     body = lambda x: rows.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b")
 
@@ -252,9 +265,9 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
                 part = batch.slice(at, ROWS)
                 made = [banded(t, words) for t in part.column(1).to_pylist()]
                 keys = pa.array([np.array(v, np.uint64).view(np.int64) for _, v in made], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f for f, _ in made], pa.binary()), keys], names=["node", "fp", "variants"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f for f, _ in made], pa.list_(pa.int64())), keys], names=["node", "fp", "variants"])
 
-    prints = written(arrow_map(texts, run, "node long, fp binary, variants array<long>"), "bands")
+    prints = written(arrow_map(texts, run, "node long, fp array<long>, variants array<long>"), "bands")
     emitted = prints.select("node", F.posexplode("variants").alias("at", "variant"))
     # the band above the variant: one number to shuffle, whose zeros lie together and pack well
     band = F.floor(F.col("at") / variants).cast("long")
@@ -265,16 +278,20 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     first = F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0))
     met = emitted.select("variant", "node", before.alias("before"), after.alias("after"), first.alias("first"))
     met = written(met.filter("before is not null or after is not null").drop("after"), "met")
-    near = met.filter("before is not null").groupBy("node", F.shiftrightunsigned("variant", WIDTH).alias("band")).agg(F.min("first").alias("first"), F.max("before").alias("before"))
-    pairs = near.select(F.explode(F.array("before", "first")).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
-    links = written(verified(pairs, prints, rows, words, similarity), "links")
+    nearest = met.filter("before is not null").groupBy("node", F.shiftrightunsigned("variant", WIDTH).alias("band")).agg(F.min("first").alias("first"), F.max("before").alias("before"))
+    pairs = nearest.select(F.explode(F.array("before", "first")).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
+    links = written(verified(near(pairs, prints, similarity), rows, words, similarity), "links")
     met = met.select("variant", "node")
-    steps = ((0, neighbours), (0, lambda m: unlike(m, most)), (most, lambda m: sharing(m, rows, words, similarity, most)))
+    steps = (
+        (0, lambda m: near(neighbours(m), prints, similarity)),
+        (0, lambda m: unlike(m, prints, similarity, most)),
+        (most, lambda m: near(sharing(m, rows, words, similarity, most), prints, similarity)),
+    )
     for more_than, choose in steps:
         still = mixed(met, roots(links))
         if still.filter(F.col("odd") > more_than).isEmpty():
             break
-        links = written(links.union(verified(choose(still), prints, rows, words, similarity)), "links")
+        links = written(links.union(verified(choose(still), rows, words, similarity)), "links")
     root = roots(links).withColumnRenamed("node", "member")
     grouped = members.join(root, F.col("node") == F.col("member"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     grouped = written(grouped, "groups")
