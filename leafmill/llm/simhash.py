@@ -287,12 +287,14 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
         (0, lambda m: unlike(m, prints, similarity, most)),
         (most, lambda m: near(sharing(m, rows, words, similarity, most), prints, similarity)),
     )
+    root = roots(links)
     for more_than, choose in steps:
-        still = mixed(met, roots(links))
+        still = mixed(met, root)
         if still.filter(F.col("odd") > more_than).isEmpty():
             break
         links = written(links.union(verified(choose(still), rows, words, similarity)), "links")
-    root = roots(links).withColumnRenamed("node", "member")
+        root = roots(links)
+    root = root.withColumnRenamed("node", "member")
     grouped = members.join(root, F.col("node") == F.col("member"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     grouped = written(grouped, "groups")
     least = written(grouped.groupBy("root").agg(F.min("doc_id").alias("group_id")), "least")
