@@ -65,10 +65,16 @@ def lab_to_srgb(l: Column, a: Column, b: Column, white=D65, limits=(-100.0, 100.
     return F.array(*(F.when(v <= 0.0031308, v * 12.92).otherwise(F.pow(v, F.lit(1 / 2.4)) * 1.055 - 0.055) for v in linear))
 
 
-def ycck_to_cmyk(y: Column, cb: Column, cr: Column, k: Column) -> Column:
-    """array(c, m, y, k), cut to whole numbers."""
-    cut = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)).cast("int")
-    return F.array(cut(434.456 - y - 1.402 * cr), cut(119.541 - y + 0.344 * cb + 0.714 * cr), cut(481.816 - y - 1.772 * cb), k.cast("int"))
+def ycck_to_cmyk(y: Column, cb: Column, cr: Column, k: Column, whole: bool = False) -> Column:
+    """array(c, m, y, k), cut to whole numbers.
+
+    whole says that the channels are whole numbers: sums are then of thousandths, without error. In doubles
+    481.816 - 1.772 * 128 is less than 255 and is cut to 254.
+    """
+    unit = 1000 if whole else 1.0
+    of = lambda v: round(v * 1000) if whole else v
+    cut = lambda v: F.floor(F.least(F.greatest(v, F.lit(0 * unit)), F.lit(255 * unit)) / unit).cast("int")
+    return F.array(cut(of(434.456) - y * unit - of(1.402) * cr), cut(of(119.541) - y * unit + of(0.344) * cb + of(0.714) * cr), cut(of(481.816) - y * unit - of(1.772) * cb), k.cast("int"))
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:

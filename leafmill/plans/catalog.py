@@ -560,7 +560,7 @@ SELECT l_orderkey, l_linenumber, {_overprint_sql(0)} AS r, {_overprint_sql(1)} A
 """)
 def color_kernels(spark, sf):
     c, m, y, k = F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.col("l_orderkey") % 256, F.col("l_linenumber") * 30
-    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", color.cmyk_to_rgb(c, m, y, k).alias("rgb"), color.ycck_to_cmyk(c, m, y, k).alias("cmyk"), color.luma(c, m, y).alias("luma"))
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", color.cmyk_to_rgb(c, m, y, k).alias("rgb"), color.ycck_to_cmyk(c, m, y, k, whole=True).alias("cmyk"), color.luma(c, m, y).alias("luma"))
     return df.select("l_orderkey", "l_linenumber", *(F.col("rgb")[i].alias(n) for i, n in enumerate("rgb")), *(F.col("cmyk")[i].alias(f"{n}2") for i, n in enumerate("cmyk")), "luma")
 
 

@@ -64,6 +64,29 @@ def test_colors(spark):
     assert got[5] == 255 and got[6] == [255, 254, 254, 9]
 
 
+def test_whole_ycck_channels_are_exact(spark):
+    df = spark.range(256).select(F.col("id").alias("y")).crossJoin(spark.range(256).select(F.col("id").alias("x")))
+    y, x = F.col("y"), F.col("x")
+    got = df.select("y", "x", color.ycck_to_cmyk(y, x, x, F.lit(9), whole=True).alias("v")).collect()
+    cut = lambda v: max(0, min(255, v // 1000))
+    want = lambda y, x: [cut(434456 - 1000 * y - 1402 * x), cut(119541 - 1000 * y + 1058 * x), cut(481816 - 1000 * y - 1772 * x), 9]
+    assert len(got) == 65536 and all(r.v == want(r.y, r.x) for r in got)
+
+
+def test_color_query_where_sums_are_whole(spark, tmp_path):
+    import duckdb
+
+    from leafmill.plans import catalog
+
+    keys = spark.range(256).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey"), F.lit(128).cast("long").alias("l_suppkey"))
+    keys.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = catalog.QUERIES["color_kernels"](spark, str(tmp_path))
+    want = db.execute(catalog.ORACLE_SQL["color_kernels"]).df()
+    assert sorted(map(tuple, got.collect())) == sorted(want[got.columns].itertuples(index=False, name=None))
+
+
 def test_geometry(spark):
     m = geometry.matrix(2, 0, 0, 3, 10, 20)
     box = geometry.unit_square(m)
