@@ -27,12 +27,18 @@ def offsets(df: DataFrame, keys: list[str], order: list[str], length: Column, un
     return F.coalesce(F.sum(filled).over(before), F.lit(0)) + first
 
 
+#: More tokens than an array holds; slice() overflows near 2^31.
+MOST = 2**30
+
+
 def appearance_fonts(text: Column) -> Column:
-    """Names that stand two tokens before Tf, with a name's slash, in a default appearance; tokens part at every white space byte."""
+    """Names that stand two tokens before Tf, with a name's slash, in a default appearance; tokens part at every white space byte.
+
+    The text is parted twice, whatever its length: each token meets the one two further on in zip_with().
+    """
     tokens = F.split(text, "[ \t\n\r\f\\x00]", -1)
-    at = F.sequence(F.lit(2), F.size(tokens) - 1)
-    names = F.transform(F.filter(at, lambda i: (tokens[i] == "Tf") & tokens[i - 2].startswith("/")), lambda i: F.substring(tokens[i - 2], 2, 1000))
-    return F.when(F.size(tokens) < 3, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(names)))
+    names = F.zip_with(tokens, F.slice(tokens, 3, MOST), lambda name, last: F.when((last == "Tf") & name.startswith("/"), F.substring(name, 2, 2**31 - 1)))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda name: name.isNotNull())))
 
 
 def stack_depth(df: DataFrame, keys: list[str], order: list[str], operator: str = "operator") -> DataFrame:

@@ -321,7 +321,7 @@ SELECT doc_id, coalesce(string_agg(DISTINCT substr(tok, 2), ',' ORDER BY substr(
 """)
 def triples(spark, sf):
     df = table(spark, sf, "documents")
-    return df.select("doc_id", F.array_join(ordered.appearance_fonts(F.concat(F.lit("/"), F.replace("text", F.lit(" the "), F.lit(" Tf ")))), ",").alias("names"))
+    return df.select("doc_id", F.array_join(ordered.appearance_fonts(F.concat(F.lit("/"), F.replace(F.coalesce("text", F.lit("")), F.lit(" the "), F.lit(" Tf ")))), ",").alias("names"))
 
 
 @query("""

@@ -1,4 +1,5 @@
 import random
+import time
 
 from leafmill.operators import graph, lookup, ordered, usage
 from pyspark.sql import functions as F
@@ -45,6 +46,22 @@ def test_default_appearance_strings(spark):
     assert {r.da: r.f for r in df.select("da", ordered.appearance_fonts(F.col("da")).alias("f")).collect()} == want
 
 
+def test_long_default_appearances_take_time_in_proportion(spark):
+    name = "N" * 3000
+    long = "/A 1 Tf " + "w " * 100_000 + f"/{name} 2 Tf"
+    df = spark.createDataFrame([(long,), (None,)], "da string")
+    began = time.perf_counter()
+    assert [r.f for r in df.select(ordered.appearance_fonts(F.col("da")).alias("f")).collect()] == [["A", name], None]
+    assert time.perf_counter() - began < 60
+
+
+def test_triples_of_null_texts(spark, tmp_path):
+    from leafmill.plans import catalog
+
+    spark.createDataFrame([(1, None), (2, "a b the c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, catalog.QUERIES["triples"](spark, str(tmp_path)).collect())) == [(1, ""), (2, "a")]
+
+
 def test_resolution_and_boxes(spark):
     df = spark.createDataFrame([(600, 600, 144.0, 288.0), (600, 600, 72.0, 0.0)], "w int, h int, pw double, ph double")
     assert df.limit(1).agg(usage.min_resolution(*map(F.col, ("w", "h", "pw", "ph"))).alias("d")).first().d == 150.0
