@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -39,6 +40,28 @@ def test_large_numbers_stay_exact(spark):
     assert max(abs(s) for *_, s in got) > 2**53
 
 
+def test_tasks_are_as_many_as_lanes_and_bands(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 8)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(3000)], "vec_id long, embedding array<double>")
+    plan = topk.top_k(df, F.col("vec_id") % 7 == 0)._jdf.queryExecution().executedPlan().toString()
+    # shards times blocks would be 80,625 pairs
+    assert max(int(n) for n in re.findall(r"Exchange .*?, (\d+)\), REPARTITION_BY_NUM", plan)) <= topk.SPREAD
+
+
+def test_lanes_and_bands_and_boxes_that_cut(spark, monkeypatch):
+    for name, value in (("SHARD_ROWS", 100), ("QUERY_BLOCK", 10), ("LANE_BYTES", 3000), ("BAND_BYTES", 3000), ("SPREAD", 2), ("CHUNK", 16)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(20, 3)) * 4
+    rows = [(i, (middle[i % 20] + rng.normal(size=3) / 100).tolist()) for i in range(1200)]
+    rows += [(rows[i][0] + 5000, rows[i][1]) for i in range(300)]  # copies: ties across lanes
+    rows += [(14, rows[14][1]), (15, rows[3][1])]  # ids again, as a query and as candidates
+    got, want = run(spark, rows)
+    assert got == want
+
+
 def test_few_and_none(spark):
     assert run(spark, [(0, [1.0]), (7, [2.0])]) == ([(0, 1, 7, 131072), (7, 1, 0, 131072)],) * 2
     assert run(spark, [(0, [1.0])])[0] == []
