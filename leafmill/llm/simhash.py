@@ -37,7 +37,8 @@ template), documents of unlike components that share a rare shingle. With the
 shingles of those groups in the order of their frequency, two sets that are
 similar share one of the first (1 - similarity) of either, so none is lost,
 and what all pages of a template share comes last and pairs nothing. A pair is
-tried by all bits of the fingerprint first, then exactly, by
+tried by all bits of the fingerprint first, then by a bound that no similar
+pair fails (parities of its shingles in 1,024 cells), then exactly, by
 its shingles. The width is the same for any number of texts, and so is the
 chance to meet; chance meetings grow with the square of the number: six
 million texts make some 34 million pairs, tried by bits.
@@ -58,6 +59,8 @@ from .components import roots
 
 BLOCK, ROWS = 1 << 15, 512
 BANDS, WIDTH, UNSURE = 8, 32, 5
+#: Longs of the parities that bound how alike two sets can be.
+PARITIES = 16
 #: Members outside the largest component up to which a group's pairs are tried one by one.
 ODD = 64
 
@@ -133,8 +136,8 @@ def hex16(fp: Column) -> Column:
 # ---- groups by similarity
 
 
-def banded(text: str | None, words: int) -> tuple[list[int], list[int]]:
-    """All bits of the bands, as signed longs, and for each band the variants (of WIDTH bits)."""
+def banded(text: str | None, words: int) -> tuple[list[int], list[int], list[int]]:
+    """All bits of the bands, as signed longs; for each band the variants (of WIDTH bits); the number of distinct shingles and their parities()."""
     counts = np.zeros(BANDS * 64, np.int64)
     # each shingle once, as in jaccard()
     distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(joined_words(text, lower=True), words)]))
@@ -152,7 +155,13 @@ def banded(text: str | None, words: int) -> tuple[list[int], list[int]]:
         value = int(np.packbits(np.pad(m > 0, (0, 64 - WIDTH)), bitorder="little").view("<u8")[0])
         flips = [1 << int(k) for k in np.argsort(np.abs(m), kind="stable")[:UNSURE]]
         out += [value ^ sum(c) for r in range(UNSURE + 1) for c in itertools.combinations(flips, r)]
-    return np.packbits(margin > 0, bitorder="little").view("<i8").tolist(), out
+    return np.packbits(margin > 0, bitorder="little").view("<i8").tolist(), out, [n, *parities(distinct)]
+
+
+def parities(distinct: np.ndarray) -> list[int]:
+    """Hashes are dealt to 64 * PARITIES cells; a bit is 1 if its cell has an odd number. As signed longs."""
+    cells = np.bincount((distinct >> np.uint64(32)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES)
+    return np.packbits(cells & 1, bitorder="little").view("<i8").tolist()
 
 
 def jaccard(a: str | None, b: str | None, words: int) -> float:
@@ -192,16 +201,26 @@ def close(a: str, b: str, similarity: float) -> Column:
     return apart <= far
 
 
+def can_reach(a: str, b: str, similarity: float) -> Column:
+    """Whether sets in columns a and b (their number and parities) can be as similar; false for no pair that is.
+
+    A parity differs only where one set has a shingle that the other lacks, and sets of that similarity differ in
+    (1 - similarity) / (1 + similarity) of their numbers' sum at most.
+    """
+    differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, PARITIES + 1)), F.lit(0))
+    return differ <= (F.col(a)[0] + F.col(b)[0]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def unlike(rows: DataFrame, prints: DataFrame, similarity: float, most: int) -> DataFrame:
-    """a, b: pairs in unlike components of the groups with at most `most` odd members, those that are close().
+    """a, b: pairs in unlike components of the groups with at most `most` odd members, those that are close() and can_reach().
 
     Each row of such a group is compared with at most so many. The bits go along with the rows, so that a pair is
-    tried by them where it meets and only close ones are shuffled.
+    tried by them where it meets and only those that may be similar are shuffled.
     """
-    rows = rows.filter(F.col("odd") <= most).join(prints.select("node", "fp"), "node")
-    odd = rows.filter("label <> main").select("variant", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("fp").alias("fp_x"))
-    every = rows.select("variant", F.col("node").alias("y"), F.col("label").alias("label_y"), "main", F.col("fp").alias("fp_y"))
-    both = odd.join(every, "variant").filter("label_x <> label_y and (label_y = main or x < y)").filter(close("fp_x", "fp_y", similarity))
+    rows = rows.filter(F.col("odd") <= most).join(prints.select("node", "fp", "odd_cells"), "node")
+    odd = rows.filter("label <> main").select("variant", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("fp").alias("fp_x"), F.col("odd_cells").alias("odd_x"))
+    every = rows.select("variant", F.col("node").alias("y"), F.col("label").alias("label_y"), "main", F.col("fp").alias("fp_y"), F.col("odd_cells").alias("odd_y"))
+    both = odd.join(every, "variant").filter("label_x <> label_y and (label_y = main or x < y)").filter(close("fp_x", "fp_y", similarity) & can_reach("odd_x", "odd_y", similarity))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -227,9 +246,9 @@ def sharing(rows: DataFrame, texts: DataFrame, words: int, similarity: float, mo
 
 
 def near(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are close()."""
-    fp = lambda x: prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
-    return pairs.join(fp("a"), "a").join(fp("b"), "b").filter(close("fp_a", "fp_b", similarity)).select("a", "b")
+    """The pairs (a, b) that are close() and can_reach()."""
+    of = lambda x: prints.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("odd_cells").alias(f"odd_{x}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(close("fp_a", "fp_b", similarity) & can_reach("odd_a", "odd_b", similarity)).select("a", "b")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -264,10 +283,11 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 made = [banded(t, words) for t in part.column(1).to_pylist()]
-                keys = pa.array([np.array(v, np.uint64).view(np.int64) for _, v in made], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f for f, _ in made], pa.list_(pa.int64())), keys], names=["node", "fp", "variants"])
+                keys = pa.array([np.array(v, np.uint64).view(np.int64) for _, v, _ in made], pa.list_(pa.int64()))
+                bits, cells = (pa.array([m[i] for m in made], pa.list_(pa.int64())) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([part.column(0), bits, keys, cells], names=["node", "fp", "variants", "odd_cells"])
 
-    prints = written(arrow_map(texts, run, "node long, fp array<long>, variants array<long>"), "bands")
+    prints = written(arrow_map(texts, run, "node long, fp array<long>, variants array<long>, odd_cells array<long>"), "bands")
     emitted = prints.select("node", F.posexplode("variants").alias("at", "variant"))
     # the band above the variant: one number to shuffle, whose zeros lie together and pack well
     band = F.floor(F.col("at") / variants).cast("long")

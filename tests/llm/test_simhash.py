@@ -105,6 +105,43 @@ def test_near_copies_among_pages_of_one_template(spark, most):
     assert sum(got[d] != want[d] for d in want) <= 2, (len(set(got.values())), len(set(want.values())))
 
 
+def test_few_pairs_of_unlike_pages_are_verified(spark, monkeypatch):
+    rng = random.Random(9)
+    page, rows = [f"t{i}" for i in range(300)], []
+    for i in range(240):
+        own, at = list(page), rng.randrange(260)
+        own[at : at + 30] = [f"p{i}_{j}" for j in range(30)]  # any two are some 0.6 to 0.8 alike
+        rows.append((i, " ".join(own)))
+    tried, keep = [], simhash.written
+
+    def counted(df, name="table"):
+        out = keep(df, name)
+        if name == "pairs":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    got = {r.doc_id: r.group_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute.near_groups(rows)
+    assert sum(tried) < 500, tried
+
+
+def test_no_similar_pair_fails_the_bound(spark):
+    rng, pairs = random.Random(10), []
+    while len(pairs) < 300:
+        base = [f"w{rng.getrandbits(30)}" for _ in range(rng.choice((1, 4, 30, 300, 3000)))]
+        copy = list(base)
+        for _ in range(rng.randrange(1 + len(base) // 40)):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randrange(2)] = [f"x{rng.getrandbits(30)}"] * rng.randrange(3)
+        pair = [" ".join(base), " ".join(copy)]
+        if simhash.jaccard(*pair, 5) >= 0.8:
+            pairs.append([simhash.banded(t, 5)[2] for t in pair])
+    apart = [[simhash.banded(" ".join(f"{c}{i}" for i in range(200)), 5)[2] for c in "ab"]]
+    df = spark.createDataFrame([tuple(p) for p in pairs + apart], "a array<long>, b array<long>").coalesce(1)
+    assert [r.ok for r in df.select(simhash.can_reach("a", "b", 0.8).alias("ok")).collect()] == [True] * 300 + [False]
+
+
 def test_repeated_lines_count_once():
     rng = random.Random(8)
     for _ in range(20):
