@@ -30,13 +30,15 @@ bits are among those; a pair of similarity 0.8 meets in some band 9 times in
 documents that meet are tried, unless links that are found already join them:
 first each against the smallest it meets in a band and the nearest smaller,
 then against the one before it in another order, which joins large groups of
-copies at little cost; then the rest: where no more than ODD documents of a
-group aren't in its largest component, each of those against the group, so that
-there are at most ODD pairs a row; where there are more (pages made from one
-template), documents of unlike components that share a rare shingle. With the
-shingles of those groups in the order of their frequency, two sets that are
+copies at little cost; then the rest: in a group of at most ODD members (most
+chance meetings) each pair; of larger groups (pages made from one template) each
+document is taken once, however often it meets others, and paired with those of
+unlike components that share one of its rarest shingles. With the
+shingles of those documents in the order of their frequency, two sets that are
 similar share one of the first (1 - similarity) of either, so none is lost,
-and what all pages of a template share comes last and pairs nothing. A pair is
+and what all pages of a template share comes last and pairs nothing; the first
+that they share also has as many after it in either as they must share, which
+few unlike pages fulfil. A pair is
 tried by all bits of the fingerprint first, then by a bound that no similar
 pair fails (parities of its shingles in 1,024 cells), then exactly, by
 its shingles. The width is the same for any number of texts, and so is the
@@ -61,8 +63,8 @@ BLOCK, ROWS = 1 << 15, 512
 BANDS, WIDTH, UNSURE = 8, 32, 5
 #: Longs of the parities that bound how alike two sets can be.
 PARITIES = 16
-#: Members outside the largest component up to which a group's pairs are tried one by one.
-ODD = 64
+#: Members up to which the pairs of a group, whose members are in unlike components, are tried one by one.
+ODD = 4
 
 
 def shingle_hashes(joined: bytes, words: int, seed: int = 42):
@@ -172,17 +174,17 @@ def jaccard(a: str | None, b: str | None, words: int) -> float:
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-def mixed(met: DataFrame, root: DataFrame) -> DataFrame:
-    """variant, node, label, main, odd: rows of the groups whose members are in unlike components.
-
-    label is the component, main the group's commonest, odd the number of members that aren't in main.
-    """
+def labelled(met: DataFrame, root: DataFrame) -> DataFrame:
+    """met (variant, node) with label, the component of the node."""
     label = root.select("node", F.col("root").alias("label"))
-    met = written(met.join(label, "node", "left").select("variant", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    parts = met.groupBy("variant", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("variant").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("odd"))
-    main = written(main.filter("odd > 0"), "main")
-    return written(met.join(main, "variant"), "mixed")
+    return met.join(label, "node", "left").select("variant", "node", F.coalesce("label", "node").alias("label"))
+
+
+def mixed(met: DataFrame) -> DataFrame:
+    """variant, node, label, size: rows of the groups whose members are in unlike components, and how many a group has."""
+    group = Window.partitionBy("variant")
+    sizes = met.select("*", F.count(F.lit(1)).over(group).alias("size"), (F.min("label").over(group) != F.max("label").over(group)).alias("unlike"))
+    return sizes.filter("unlike").drop("unlike")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -211,22 +213,25 @@ def can_reach(a: str, b: str, similarity: float) -> Column:
     return differ <= (F.col(a)[0] + F.col(b)[0]) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def unlike(rows: DataFrame, prints: DataFrame, similarity: float, most: int) -> DataFrame:
-    """a, b: pairs in unlike components of the groups with at most `most` odd members, those that are close() and can_reach().
-
-    Each row of such a group is compared with at most so many. The bits go along with the rows, so that a pair is
-    tried by them where it meets and only those that may be similar are shuffled.
-    """
-    rows = rows.filter(F.col("odd") <= most).join(prints.select("node", "fp", "odd_cells"), "node")
-    odd = rows.filter("label <> main").select("variant", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("fp").alias("fp_x"), F.col("odd_cells").alias("odd_x"))
-    every = rows.select("variant", F.col("node").alias("y"), F.col("label").alias("label_y"), "main", F.col("fp").alias("fp_y"), F.col("odd_cells").alias("odd_y"))
-    both = odd.join(every, "variant").filter("label_x <> label_y and (label_y = main or x < y)").filter(close("fp_x", "fp_y", similarity) & can_reach("odd_x", "odd_y", similarity))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def each_pair(rows: DataFrame, most: int) -> DataFrame:
+    """a, b: all pairs in unlike components of the groups with at most `most` members."""
+    order = Window.partitionBy("variant").orderBy("node")
+    before = [F.struct(F.lag("node", k).over(order).alias("a"), F.lag("label", k).over(order).alias("theirs")) for k in range(1, most)]
+    if not before:
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    rows = rows.filter(F.col("size") <= most).select("node", "label", F.array(*before).alias("before"))
+    pairs = rows.select(F.explode(F.filter("before", lambda x: x["theirs"] != F.col("label"))).alias("x"), F.col("node").alias("b"))
+    return pairs.select("x.a", "b").distinct()
 
 
 def sharing(rows: DataFrame, texts: DataFrame, words: int, similarity: float, most: int) -> DataFrame:
-    """a, b: documents of groups with more than `most` odd members, in unlike components, that share one of their rarest shingles."""
-    held = rows.filter(F.col("odd") > most).select("node", "label").distinct()
+    """a, b: documents of groups with more than `most` members, in unlike components, whose first shared of their rarest shingles allows the similarity.
+
+    Each document is taken once, whatever the number of its groups. Shingles are in the order of their frequency among
+    these documents. A set of n that is similar to another has one of its first n * (1 - similarity) + 1 in common with
+    it, and what is left of either from the first common one on holds all they share.
+    """
+    held = rows.filter(F.col("size") > most).select("node", "label").distinct()
     bodies = texts.join(written(held, "open"), texts.doc_id == F.col("node")).select("node", "label", "text").dropDuplicates(["node"])
 
     def run(batches):
@@ -237,11 +242,21 @@ def sharing(rows: DataFrame, texts: DataFrame, words: int, similarity: float, mo
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "label", "hashes"])
 
     each = written(arrow_map(bodies, run, "node long, label long, hashes array<long>"), "shingles").select("node", "label", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    often = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), (F.min("label") != F.max("label")).alias("shared")), "often")
-    ranked = each.join(often, "h").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))
-    rare = written(ranked.filter(F.col("shared") & (F.col("rank") <= F.floor(F.col("n") * (1 - similarity) + 1e-6) + 1)).select("h", "node", "label"), "rare")
-    x, y = (rare.toDF("h", c, f"label_{c}") for c in ("x", "y"))
-    both = x.join(y, "h").filter("label_x < label_y")
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), (F.min("label") != F.max("label")).alias("shared"))
+    # those that one document has alone come first and pair nothing: they are only counted
+    often = written(often.filter("df > 1"), "often")
+    node = Window.partitionBy("node")
+    rank = F.col("n") - F.count(F.lit(1)).over(node) + F.row_number().over(node.orderBy("df", "h"))
+    rare = each.join(often, "h").withColumn("rank", rank).filter(F.col("shared") & (F.col("rank") <= F.floor(F.col("n") * (1 - similarity) + 1e-6) + 1))
+    rare = written(rare.select("h", "node", "label", "n", "rank"), "rare")
+    # members of the commonest component aren't paired with each other
+    parts = rare.groupBy("h", "label").agg(F.count(F.lit(1)).alias("rows"))
+    main = parts.groupBy("h").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    rare = written(rare.join(written(main.filter("labels > 1").drop("labels"), "main"), "h"), "postings")
+    x, y = (rare.toDF("h", c, *(f"{k}_{c}" for k in ("label", "n", "rank", "main"))) for c in ("x", "y"))
+    need = (F.col("n_x") + F.col("n_y")) * (similarity / (1 + similarity)) - 1e-6
+    allowed = F.least(F.col("n_x") - F.col("rank_x"), F.col("n_y") - F.col("rank_y")) + 1 >= need
+    both = x.filter("label_x <> main_x").join(y, "h").filter("label_x <> label_y and (label_y = main_y or x < y)").filter(allowed)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -302,17 +317,13 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     pairs = nearest.select(F.explode(F.array("before", "first")).alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
     links = written(verified(near(pairs, prints, similarity), rows, words, similarity), "links")
     met = met.select("variant", "node")
-    steps = (
-        (0, lambda m: near(neighbours(m), prints, similarity)),
-        (0, lambda m: unlike(m, prints, similarity, most)),
-        (most, lambda m: near(sharing(m, rows, words, similarity, most), prints, similarity)),
-    )
     root = roots(links)
-    for more_than, choose in steps:
-        still = mixed(met, root)
-        if still.filter(F.col("odd") > more_than).isEmpty():
-            break
-        links = written(links.union(verified(choose(still), rows, words, similarity)), "links")
+    links = written(links.union(verified(near(neighbours(labelled(met, root)), prints, similarity), rows, words, similarity)), "links")
+    root = roots(links)
+    still = written(mixed(labelled(met, root)), "mixed")
+    if not still.isEmpty():
+        rest = each_pair(still, most).union(sharing(still, rows, words, similarity, most)).distinct()
+        links = written(links.union(verified(near(rest, prints, similarity), rows, words, similarity)), "links")
         root = roots(links)
     root = root.withColumnRenamed("node", "member")
     grouped = members.join(root, F.col("node") == F.col("member"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,39 @@ def test_few_pairs_of_unlike_pages_are_verified(spark, monkeypatch):
     assert sum(tried) < 500, tried
 
 
+def joined_rows(spark, since):
+    """Rows that the inner joins of the queries after the first `since` made, by join; the number of queries."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids, out = [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())], {}
+    for i in ids:
+        if i > since:
+            values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                if "Join" in node.name() and "Inner" in node.desc():
+                    metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                    made = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                    key = re.sub(r"#\d+L?|^.*?Join|Build\w+", "", node.desc())[:80]
+                    out[key] = out.get(key, 0) + sum(int(v.get().replace(",", "")) for v in made if v.isDefined())
+    return out, max(ids, default=-1)
+
+
+def test_documents_that_meet_often_are_joined_once(spark):
+    rng = random.Random(14)
+    page, rows = [f"t{i}" for i in range(300)], []
+    for i in range(240):
+        own, at = list(page), rng.randrange(270)
+        own[at : at + 25] = [f"p{i}_{j}" for j in range(25)]  # unlike, but they meet in many groups
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    since = joined_rows(spark, 1 << 62)[1]
+    got = {r.doc_id: r.group_id for r in simhash.near_groups(df).collect()}
+    assert got == brute.near_groups(rows)
+    made, _ = joined_rows(spark, since)
+    by_node = {k: n for k, n in made.items() if "[node], [node]" in k}  # not once for each of the up to 256 groups of a document
+    assert made and sum(by_node.values()) <= 2 * len(rows), made
+
+
 def test_no_similar_pair_fails_the_bound(spark):
     rng, pairs = random.Random(10), []
     while len(pairs) < 300:
