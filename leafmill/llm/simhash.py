@@ -65,6 +65,8 @@ BANDS, WIDTH, UNSURE = 8, 32, 5
 PARITIES = 16
 #: Members up to which the pairs of a group, whose members are in unlike components, are tried one by one.
 ODD = 4
+#: Classes of sizes from a set to the least that can be similar to it.
+SIZES = 4
 
 
 def shingle_hashes(joined: bytes, words: int, seed: int = 42):
@@ -254,9 +256,16 @@ def sharing(rows: DataFrame, texts: DataFrame, words: int, similarity: float, mo
     main = parts.groupBy("h").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     rare = written(rare.join(written(main.filter("labels > 1").drop("labels"), "main"), "h"), "postings")
     x, y = (rare.toDF("h", c, *(f"{k}_{c}" for k in ("label", "n", "rank", "main"))) for c in ("x", "y"))
+    # what is left of x allows only some sizes of y; they meet by classes of sizes, so that few are compared
+    step = max(float(np.log(1 / similarity)), 0.01) / SIZES
+    size = lambda n: F.floor(F.log(n) / step + 1e-9)
+    left, ratio = F.col("n_x") - F.col("rank_x") + 1, (1 + similarity) / similarity
+    low, high = F.col("n_x") * similarity - 1e-6, F.least(F.col("n_x") / similarity, left * ratio - F.col("n_x")) + 1e-6
+    x = x.filter("label_x <> main_x").withColumn("size", F.explode(F.sequence(size(low), size(F.greatest(low, high)))))
+    y = y.withColumn("size", size(F.col("n_y")))
     need = (F.col("n_x") + F.col("n_y")) * (similarity / (1 + similarity)) - 1e-6
     allowed = F.least(F.col("n_x") - F.col("rank_x"), F.col("n_y") - F.col("rank_y")) + 1 >= need
-    both = x.filter("label_x <> main_x").join(y, "h").filter("label_x <> label_y and (label_y = main_y or x < y)").filter(allowed)
+    both = x.join(y, ["h", "size"]).filter("label_x <> label_y and (label_y = main_y or x < y)").filter(allowed)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -160,6 +160,23 @@ def test_documents_that_meet_often_are_joined_once(spark):
     assert made and sum(by_node.values()) <= 2 * len(rows), made
 
 
+def test_sharing_gives_every_similar_pair_of_any_sizes(spark):
+    rng, rows = random.Random(16), []
+    for f in range(25):
+        base = [f"t{rng.randrange(400)}" for _ in range(rng.choice((1, 4, 9, 40, 200)))]
+        for _ in range(4):
+            copy = base[: len(base) - rng.randrange(1 + len(base) // 6)]  # shorter ones too
+            for _ in range(rng.randrange(1 + len(copy) // 50)):
+                copy[rng.randrange(len(copy))] = f"x{rng.getrandbits(30)}"
+            rows.append((len(rows), " ".join(copy)))
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    met = spark.createDataFrame([(v, i, i, len(rows)) for i, _ in rows for v in (1, 2)], "variant long, node long, label long, size long")
+    got = {(r.a, r.b) for r in simhash.sharing(met, texts, 5, 0.8, 4).collect()}
+    want = {(i, j) for j, b in rows for i, a in rows[:j] if simhash.jaccard(a, b, 5) >= 0.8}
+    assert len(want) > 40 and want <= got
+    assert len(got) < 3 * len(want)
+
+
 def test_no_similar_pair_fails_the_bound(spark):
     rng, pairs = random.Random(10), []
     while len(pairs) < 300:
